@@ -45,7 +45,7 @@ _CTE = {
     "dl": "SELECT instrument, pos, CASE WHEN side = 'Buy' THEN 1 ELSE -1 END * greatest(cur - prev, 0) AS delta FROM lag",
     "ofi": "SELECT instrument, pos, CAST(sum(delta) OVER (PARTITION BY instrument ORDER BY pos) AS BIGINT) AS ofi FROM dl",
     "num": "SELECT instrument, pos, ts_us, row_number() OVER (PARTITION BY instrument ORDER BY pos) AS i FROM l2",
-    "lab": "SELECT *, lead(midprice, 1) OVER w AS m1, lead(midprice, 5) OVER w AS m5, lead(midprice, 10) OVER w AS m10, lead(microprice, 1) OVER w AS c1, lead(microprice, 5) OVER w AS c5, lead(microprice, 10) OVER w AS c10 FROM pr WINDOW w AS (PARTITION BY instrument ORDER BY ts_us, pos)",
+    "lab": "SELECT *, lead(midprice, 1) OVER w AS m1, lead(midprice, 5) OVER w AS m5, lead(midprice, 10) OVER w AS m10, lead(microprice, 1) OVER w AS c1, lead(microprice, 5) OVER w AS c5, lead(microprice, 10) OVER w AS c10 FROM pr WHERE midprice > 0 WINDOW w AS (PARTITION BY instrument ORDER BY ts_us, pos)",
     "sco": "SELECT instrument, pos, ts_us, midprice, (m1 - midprice) / greatest(midprice, 1e-12) AS ret, CAST(coalesce(m1 > midprice, false) AS INTEGER) AS y, pos * 7919 % 1000 / 1000.0::DOUBLE AS prob FROM lab",
     "sc": "SELECT event_id AS pos, event_id * 7919 % 1000 / 1000.0::DOUBLE AS prob, CAST(event_id % 3 = 0 AS INTEGER) AS y FROM events",
     "probe": "SELECT instrument, pos, side, CAST(1000000 + CASE WHEN side = 'Buy' THEN -100 ELSE 100 END * (1 + pos % 10) AS BIGINT) AS px FROM l2 WHERE pos % 3 = 0",

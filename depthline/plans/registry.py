@@ -30,9 +30,14 @@ def _priced(s: SparkSession, d: str) -> DataFrame:
     return features.book_features(_l2(s, d)).select("instrument", "pos", "ts_us", "best_bid", "best_bid_qty", "best_ask", "best_ask_qty", "midprice", "spread", "microprice", "queue_imbalance")
 
 
+def _quoted(s: SparkSession, d: str) -> DataFrame:
+    """Priced rows from the first two-sided book on (before it the mid is 0 and returns mean nothing)."""
+    return _priced(s, d).where("midprice > 0")
+
+
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    """Priced rows with the first label and a score."""
-    rows = sampling.add_labels(_priced(s, d), (1,))
+    """Quoted rows with the first label and a score."""
+    rows = sampling.add_labels(_quoted(s, d), (1,))
     return rows.withColumns({"prob": F.col("pos") * 7919 % 1000 / F.lit(1000.0), "y": F.col("label_1").cast("int")})
 
 
@@ -323,7 +328,7 @@ def sample_every_k(s, d):
 
 def _labels(h):
     def f(s, d):
-        return sampling.add_labels(_priced(s, d), (h,)).select("instrument", "pos", *r9(f"next_return_{h}"), f"label_{h}", *r9(f"microprice_change_{h}"))
+        return sampling.add_labels(_quoted(s, d), (h,)).select("instrument", "pos", *r9(f"next_return_{h}"), f"label_{h}", *r9(f"microprice_change_{h}"))
 
     f.__name__ = f"labels_{h}"
     return query(f)
