@@ -12,10 +12,11 @@ in both, within the band of offsets that the threshold allows; similarity is the
 chain's length over the number of k-mers of both less the chain (aligned Jaccard).
 
 No pairs of a group are spelled out.  Equal texts become one node.  In each band each
-node is verified against the band's smallest node; after components of those links,
-only nodes outside a band's largest component are compared with the band's nodes of
-other components.  So every link between different components of a band is looked at,
-and a group of thousands of copies costs one comparison each.
+node is verified against one leader, the node whose bands are most common; after
+components of those links, only nodes outside a band's largest component are compared
+with the band's nodes of other components, in blocks that return links alone.  So every
+link between different components of a band is looked at, and a group of thousands of
+copies costs one comparison each.
 
 Defined results: a null text counts as empty; equal texts (empty ones too) are one
 class; a text of fewer than five words is one k-mer; repeated rows share their class;
@@ -37,6 +38,8 @@ from depthline.llm.components import components
 WORDS = 5
 BANDS, ROWS, PICKED = 16, 2, 2
 SIMILARITY = 0.8
+#: Nodes of a band compared at a time.
+BLOCK = 512
 
 
 def labelled_kmers(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +176,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInPandas(run, "u string, v string")
 
 
+def _compared(placed: DataFrame, minor: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between a band's smaller components and all its other nodes, compared block by block.
+
+    A block holds at most about ``BLOCK`` nodes of each side, whatever the size of the band.
+    Shared k-mers are counted through the block's own index of k-mers; only pairs that
+    share enough are aligned, and only links leave the task.
+    """
+    keys = ["band", "key"]
+    less = placed.join(minor, [*keys, "component"], "left_semi")
+    load = less.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")).join(placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ps")), keys)
+    spread = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    all_ = placed.join(load, keys).join(texts, "node").select(*keys, spread("ps").alias("p"), copies("qs").alias("q"), "node", "component", "t")
+    few = less.join(load, keys).join(texts, "node").select(F.col("band").alias("xband"), F.col("key").alias("xkey"), copies("ps").alias("xp"), spread("qs").alias("xq"), F.col("node").alias("xnode"), F.col("component").alias("xcomponent"), F.col("t").alias("xt"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[str, str]] = []
+        if len(left) and len(right):
+            names, places = left["node"].to_numpy(), left["component"].to_numpy()
+            kmers, bounds = labelled_kmers(left["t"].tolist())
+            sizes = np.diff(bounds)
+            order = np.argsort(kmers, kind="stable")
+            listed, holder = kmers[order], np.repeat(np.arange(len(names)), sizes)[order]
+            asked, ends = labelled_kmers(right["xt"].tolist())
+            for i, (name, place) in enumerate(zip(right["xnode"], right["xcomponent"])):
+                mine = asked[ends[i] : ends[i + 1]]
+                lo, hi = np.searchsorted(listed, mine, "left"), np.searchsorted(listed, mine, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+                common = np.bincount(holder[at], minlength=len(names))
+                near = np.flatnonzero((common >= threshold * (len(mine) + sizes) / (1 + threshold) - 1e-9) & (places != place))
+                for j in near.tolist():
+                    if alignment_similarity(mine, kmers[bounds[j] : bounds[j + 1]], threshold) >= threshold - 1e-12:
+                        out.append((max(name, names[j]), min(name, names[j])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="str")
+
+    return all_.groupBy(*keys, "p", "q").cogroup(few.groupBy("xband", "xkey", "xp", "xq")).applyInPandas(run, "u string, v string").distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``uid, doc_id, class_id`` for every row; ``class_id`` is the smallest ``doc_id`` of the class."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), F.md5(text_of(docs)).alias("node"))
@@ -181,8 +223,12 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     source = docs.select(F.monotonically_increasing_id().alias("uid"), text_of(docs).alias("t"))
     source = source.withColumn("node", F.md5("t")).select("uid", "node", "t")
     bands = stored(_signed(source.select("node", "t")).dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "key")).where("key <> 0"), "omh-bands")
-    leaders = bands.groupBy("band", "key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    grouped = stored(bands.join(leaders, ["band", "key"]).select("band", "key", F.col("node").alias("u"), "v"), "omh-grouped")
+    sizes = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(bands.join(sizes, ["band", "key"]).select("band", "key", "node", "n"), "omh-shared")
+    # The node whose bands are the most common ones is nearest to the middle of its group.
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    leaders = shared.join(weight, "node").groupBy("band", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("v"))
+    grouped = stored(shared.join(leaders, ["band", "key"]).select("band", "key", F.col("node").alias("u"), "v"), "omh-grouped")
     stars = stored(grouped.where("u <> v").select("u", "v").distinct(), "omh-stars")
     wanted = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct()
     one = source.join(firsts.join(wanted, "node", "left_semi").select("uid"), "uid", "left_semi").select("node", "t")
@@ -194,11 +240,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     sizes = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("band", "key").orderBy(F.desc("n"), "component")
     minor = sizes.withColumn("place", F.row_number().over(order)).where("place > 1").select("band", "key", "component")
-    less = placed.join(minor, ["band", "key", "component"], "left_semi").select("band", "key", F.col("node").alias("u"), F.col("component").alias("cu"))
-    other = placed.select("band", "key", F.col("node").alias("v"), F.col("component").alias("cv"))
-    rest = less.join(other, ["band", "key"]).where("cu <> cv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    rest = rest.join(stars, ["u", "v"], "left_anti")
-    more = stored(_verified(rest, texts, similarity), "omh-more")
+    more = stored(_compared(placed, minor, texts, similarity), "omh-more")
     if more.limit(1).count():
         found = components(links.union(more))
     classed = rows.join(found, "node", "left").select("uid", "doc_id", F.coalesce("component", "node").alias("component"))
