@@ -85,8 +85,11 @@ _LIVE_SEG = (
 
 
 def _chain(count: int) -> str:
-    nxt = f"SELECT a.instrument, a.i, least(a.i + {count}, coalesce((SELECT min(b.i) FROM num b WHERE b.instrument = a.instrument AND b.i > a.i AND b.ts_us >= a.ts_us + 100000), 9223372036854775807)) AS j FROM num a"
-    return _with("num", "SELECT instrument, pos FROM hop JOIN num USING (instrument, i)", (("nx", nxt), ("hop", "SELECT instrument, 1::BIGINT AS i FROM num WHERE i = 1 UNION ALL SELECT h.instrument, nx.j FROM hop h JOIN nx ON nx.instrument = h.instrument AND nx.i = h.i JOIN num ON num.instrument = nx.instrument AND num.i = nx.j")), True)
+    firsts = "SELECT instrument, ts_us, min(i) AS i FROM num GROUP BY ALL"
+    nxt = f"SELECT a.instrument, a.i, least(a.i + {count}, coalesce(b.i, 9223372036854775807)) AS j FROM (SELECT instrument, i, ts_us + 100000 AS due FROM num) a ASOF LEFT JOIN firsts b ON a.instrument = b.instrument AND a.due <= b.ts_us"
+    hops = f"SELECT instrument, 1::BIGINT AS i FROM num WHERE i = 1 UNION ALL SELECT h.instrument, nx.j FROM hop h JOIN nx ON nx.instrument = h.instrument AND nx.i = h.i JOIN tops ON tops.instrument = h.instrument AND nx.j <= tops.n"
+    parts = (("firsts", firsts), ("tops", "SELECT instrument, max(i) AS n FROM num GROUP BY 1"), ("nx", nxt), ("hop", hops))
+    return _with("num", "SELECT instrument, pos FROM hop JOIN num USING (instrument, i)", parts, True).replace("nx AS (", "nx AS MATERIALIZED (").replace("tops AS (", "tops AS MATERIALIZED (")
 
 
 def _labels(h: int) -> str:

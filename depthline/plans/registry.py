@@ -313,7 +313,7 @@ def sample_snapshots_by_count(s, d):
 @query
 def market_snapshots(s, d):
     rows = sampling.market_snapshots(_l2(s, d)).drop("prediction")
-    return rows.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+    return rows.select(*[F.round(c, 9).alias(c) if t == "double" and c != "buy_ratio" else F.col(c) for c, t in rows.dtypes])
 
 
 @query
