@@ -78,16 +78,17 @@ def ranked(scored: DataFrame) -> DataFrame:
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """Area under the curve by ranks; ties count half. One row."""
+    """Area under the curve by ranks; ties count half; null without both classes. One row."""
     r = ranked(scored)
-    return r.agg((F.sum(F.col("pos_n") * (F.col("neg_below") + F.col("neg_n") / 2)) / F.sum("pos_n") / F.sum("neg_n")).alias("auc"))
+    wins = F.sum(F.col("pos_n") * (F.col("neg_below") + F.col("neg_n") / 2))
+    return r.agg(F.try_divide(wins, F.sum("pos_n").cast("double") * F.sum("neg_n")).alias("auc"))
 
 
 def roc_points(scored: DataFrame) -> DataFrame:
     """``prob, fpr, tpr``: one point per different score, from the highest."""
     r = ranked(scored)
     total = r.agg(F.sum("pos_n").alias("p"), F.sum("neg_n").alias("n"))
-    return r.crossJoin(total).select("prob", ((F.col("n") - F.col("neg_below")) / F.col("n")).alias("fpr"), ((F.col("p") - F.col("pos_below")) / F.col("p")).alias("tpr"))
+    return r.crossJoin(total).select("prob", F.try_divide(F.col("n") - F.col("neg_below"), F.col("n")).alias("fpr"), F.try_divide(F.col("p") - F.col("pos_below"), F.col("p")).alias("tpr"))
 
 
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
