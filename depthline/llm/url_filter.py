@@ -24,7 +24,7 @@ from depthline.llm.common import let
 # The rules of the list, as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 # Host words that mark labelled URLs to be blocked.
-BLOCK_WORDS = ("adult", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "loans", "pills", "poker", "porn", "sex", "slots", "viagra", "warez", "xxx")
+BLOCK_WORDS = ("ads", "adserver", "adult", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "loans", "malware", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "tracker", "tracking", "viagra", "warez", "xxx")
 SAMPLE, MADE = 4000, 1200
 FEATURES = ["f_url_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_entropy", "f_host_entropy", "f_params", "f_hyphens", "f_query_len", "f_suffix"]
 
@@ -49,11 +49,12 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 def _entropy(text: Column) -> Column:
     def of(chars: Column) -> Column:
-        n = F.size(chars)
-        shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+        n = F.length(text)
+        shares = F.transform(chars, lambda c: (n - F.length(F.replace(text, c))) / n)
         return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
-    return F.when(F.length(text) > 0, let(F.split(F.substring(text, 1, 2048), ""), of)).otherwise(F.lit(0.0))
+    distinct = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    return F.when(F.length(text) > 0, let(distinct, of)).otherwise(F.lit(0.0))
 
 
 def _suffix(host: Column) -> Column:
