@@ -50,6 +50,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` as ``_row``, each with a number ``_uid``, written to the shared folder.
+
+    How a table is cut into partitions depends on the executors at hand, so row numbers
+    taken in two reads may differ where executors come or go; numbers read from here do not.
+    """
+    return stored(docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct(*[docs[c] for c in docs.columns]).alias("_row")), name)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row inside one expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

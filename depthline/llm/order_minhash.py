@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthline.llm.common import mix, stored, text_of, word_hashes
+from depthline.llm.common import mix, numbered, stored, word_hashes
 from depthline.llm.components import components
 
 WORDS = 5
@@ -217,11 +217,15 @@ def _compared(placed: DataFrame, minor: DataFrame, texts: DataFrame, threshold:
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``uid, doc_id, class_id`` for every row; ``class_id`` is the smallest ``doc_id`` of the class."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), F.md5(text_of(docs)).alias("node"))
-    rows = stored(rows, "omh-rows")
+    return _classes(numbered(docs.select(docs["doc_id"], docs["text"]), "omh-docs"), similarity)
+
+
+def _classes(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Classes of a numbered table."""
+    text = F.coalesce(F.col("_row")["text"].cast("string"), F.lit(""))
+    source = table.select(F.col("_uid").alias("uid"), F.col("_row")["doc_id"].cast("long").alias("doc_id"), F.md5(text).alias("node"), text.alias("t"))
+    rows = stored(source.select("uid", "doc_id", "node"), "omh-rows")
     firsts = rows.groupBy("node").agg(F.min("uid").alias("uid"))
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), text_of(docs).alias("t"))
-    source = source.withColumn("node", F.md5("t")).select("uid", "node", "t")
     bands = stored(_signed(source.select("node", "t")).dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "key")).where("key <> 0"), "omh-bands")
     sizes = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(bands.join(sizes, ["band", "key"]).select("band", "key", "node", "n"), "omh-shared")
@@ -254,9 +258,8 @@ def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, the one with the smallest ``doc_id``; ``docs`` must read the same way twice."""
-    classes = near_duplicate_classes(docs, **options)
+    """One row of each class, the one with the smallest ``doc_id``."""
+    table = numbered(docs, "omh-docs")
+    classes = _classes(table, **options)
     least = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "uid"))["uid"].alias("keep"))
-    columns = docs.columns
-    body = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct(*[docs[c] for c in columns]).alias("_row"))
-    return body.join(least, F.col("_uid") == F.col("keep"), "left_semi").select(*[F.col("_row")[c].alias(c) for c in columns])
+    return table.join(least, F.col("_uid") == F.col("keep"), "left_semi").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

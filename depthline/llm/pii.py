@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depthline.llm.common import let, text_of
+from depthline.llm.common import let, numbered, text_of
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "phone_local", "national_id", "bank_account", "email_spelled")
@@ -166,14 +166,18 @@ def pii_spans(docs: DataFrame, precision: float = 0.98, seed: int = 5) -> DataFr
 
     ``uid`` tells rows apart that share a ``doc_id``.
     """
+    return _spans(docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].alias("doc_id"), text_of(docs).alias("t")), precision, seed)
+
+
+def _spans(proposed: DataFrame, precision: float = 0.98, seed: int = 5) -> DataFrame:
+    """Selected spans of rows ``uid, doc_id, t``."""
     text = F.col("t")
-    proposed = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].alias("doc_id"), text_of(docs).alias("t"))
     found = proposed.select("uid", "doc_id", F.explode_outer(F.flatten(F.array(*[_found(text, k) for k in GENERATORS]))).alias("c")).select("uid", "doc_id", "c.*")
     before = Window.partitionBy("uid", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = found.withColumn("end", F.sum(F.col("gap") + F.length("span")).over(before)).withColumn("start", F.col("end") - F.length("span"))
     valid = F.coalesce(_valid(F.col("kind"), F.col("span")), F.lit(False))
     checked = placed.withColumns({c: F.when(valid, F.col(c)) for c in ("kind", "start", "end")}).withColumn("base", F.coalesce(F.col("kind").isin(*BASE), F.lit(False)))
-    model, threshold = _model(docs.sparkSession, precision, seed)
+    model, threshold = _model(proposed.sparkSession, precision, seed)
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_features(checked))).withColumn("p", vector_to_array("probability")[1])
     rated = scored.select("uid", "doc_id", "kind", "start", "end", "base", (F.col("base") | (F.col("p") >= threshold)).alias("chosen"))
     # A proposal gives way to base spans and to chosen ones that begin earlier.
@@ -208,11 +212,11 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every selected span replaced by its kind in brackets; ``n_chars`` follows where there is one.
 
     Overlapping spans are replaced as one, named by the one that begins first.
-    ``docs`` must be a table that reads the same way twice.
     """
     columns = docs.columns
-    spans = pii_spans(docs, **options).where("kind IS NOT NULL").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("s"))
-    body = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct(*[docs[c] for c in columns]).alias("_row"))
+    body = numbered(docs, "pii-docs")
+    proposed = body.select(F.col("_uid").alias("uid"), F.col("_row")["doc_id"].alias("doc_id"), F.coalesce(F.col("_row")["text"].cast("string"), F.lit("")).alias("t"))
+    spans = _spans(proposed, **options).where("kind IS NOT NULL").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("s"))
     joined = body.join(spans, F.col("_uid") == F.col("uid"), "left")
     text = F.col("_row")["text"]
 
