@@ -6,10 +6,12 @@ order, so two texts share a sketch only when the sampled k-mers stand in the sam
 order in both: it follows edit similarity, not just set overlap.  ``ROWS`` sketches make
 a band; texts that share a band are candidates.
 
-Candidates are verified by banded alignment.  Labelled k-mers are unique in a text,
-so aligning two sequences is finding the longest chain of matching k-mers that rises
-in both, within the band of offsets that the threshold allows; similarity is the
-chain's length over the number of k-mers of both less the chain (aligned Jaccard).
+Candidates are verified by banded alignment of their plain k-mers: similarity is the
+length of the longest common subsequence over the number of k-mers of both less that
+length (aligned Jaccard).  Labelled k-mers are unique in a text, so their longest chain
+that rises in both is found quickly; it is a lower bound, as a repeated line that only
+one text holds shifts all later labels of that line.  Pairs it does not settle are
+aligned exactly, within the band of offsets that the threshold allows.
 
 No pairs of a group are spelled out.  Equal texts become one node.  In each band each
 node is verified against one leader, the node whose bands are most common; after
@@ -44,13 +46,19 @@ BLOCK = 512
 
 def labelled_kmers(texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the occurrence-labelled k-mers of all texts, in order, and each text's bounds."""
+    _, labelled, bounds = plain_and_labelled_kmers(texts)
+    return labelled, bounds
+
+
+def plain_and_labelled_kmers(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the k-mers of all texts, in order, plain and occurrence-labelled, and each text's bounds."""
     h, bounds = word_hashes(texts)
     sizes = np.diff(bounds)
     counts = np.where(sizes >= WORDS, sizes - WORDS + 1, np.minimum(sizes, 1))
     ends = np.cumsum(counts)
     out_bounds = np.concatenate(([0], ends))
     if not len(h):
-        return np.zeros(0, np.uint64), out_bounds
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), out_bounds
     doc = np.repeat(np.arange(len(sizes)), counts)
     at = np.arange(int(ends[-1])) - np.repeat(out_bounds[:-1], counts) + np.repeat(bounds[:-1], counts)
     last = np.repeat(bounds[1:], counts)
@@ -67,7 +75,7 @@ def labelled_kmers(texts) -> tuple[np.ndarray, np.ndarray]:
     seen = np.arange(len(order)) - np.repeat(group, np.diff(np.concatenate((group, [len(order)]))))
     occurrence = np.empty(len(order), np.uint64)
     occurrence[order] = seen
-    return mix(kmers + occurrence * np.uint64(0x9E3779B97F4A7C15)), out_bounds
+    return kmers, mix(kmers + occurrence * np.uint64(0x9E3779B97F4A7C15)), out_bounds
 
 
 def band_keys(texts, seed: int = 1) -> np.ndarray:
@@ -110,6 +118,8 @@ def band_keys(texts, seed: int = 1) -> np.ndarray:
 def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
     """Aligned Jaccard of two sequences of labelled k-mers; 0 where it must be under ``threshold``.
 
+    Of texts with repeated k-mers this is a lower bound of the similarity of the texts.
+
     A chain of M matches has similarity M / (n + m - M), so one that reaches the
     threshold leaves at most n + m - 2 M k-mers unmatched, which bounds how far
     matching places can be apart: the band.
@@ -145,6 +155,70 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = SIMILA
     return chain / (n + m - chain)
 
 
+def common_length(x: np.ndarray, y: np.ndarray, least: int) -> int:
+    """Length of the longest common subsequence; where it is under ``least``, a lower bound of it.
+
+    Places are the bits of one integer, a step takes one item of ``x``.  A subsequence of
+    ``least`` items leaves few others unmatched, which bounds how far matching places can
+    be apart; only this band of bits is held.
+    """
+    k = min(len(x), len(y))
+    differ = np.flatnonzero(x[:k] != y[:k])
+    head = int(differ[0]) if len(differ) else k
+    x, y, k = x[head:], y[head:], k - head
+    differ = np.flatnonzero(x[len(x) - k :][::-1] != y[len(y) - k :][::-1])
+    tail = int(differ[0]) if len(differ) else k
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    n, m, found, least = len(x), len(y), head + tail, max(least - head - tail, 0)
+    if min(n, m) < max(least, 1):
+        return found
+    places: dict[int, list[int]] = {}
+    for j, c in enumerate(y.tolist()):
+        places.setdefault(c, []).append(j)
+    common = {c: sum(1 << j for j in at) for c, at in places.items() if len(at) > 16}
+    bits, low, high, full = 0, 0, 0, 0
+    for i, c in enumerate(x.tolist()):
+        if high < min(i + m - least + 1, m):
+            grown = min(i + m - least + 64, m)
+            bits |= ((1 << (grown - high)) - 1) << (high - low)
+            high = grown
+            full = (1 << (high - low)) - 1
+        if i - (n - least) - low >= 64:
+            gone = i - (n - least) - low
+            found += gone - (bits & ((1 << gone) - 1)).bit_count()
+            bits >>= gone
+            low += gone
+            full >>= gone
+        if c in common:
+            here = (common[c] >> low) & full
+        else:
+            here = sum(1 << (j - low) for j in places.get(c, ()) if low <= j < high)
+        if here:
+            match = bits & here
+            bits = ((bits + match) | (bits - match)) & full
+    return found + high - low - bits.bit_count()
+
+
+def text_similarity(a: np.ndarray, b: np.ndarray, plain_a: np.ndarray, plain_b: np.ndarray, threshold: float = SIMILARITY) -> float:
+    """Aligned Jaccard of two texts, given their labelled and plain k-mers.
+
+    At or over ``threshold`` a lower bound that reaches it may stand for the value, under it any lower value.
+    """
+    quick = alignment_similarity(a, b, threshold)
+    n, m = len(a), len(b)
+    need = threshold * (n + m) / (1 + threshold)
+    if quick >= threshold - 1e-12 or min(n, m) < max(need - 1e-9, 1):
+        return quick
+    # Equal labels count what both hold, in any order; the alignment cannot hold more.
+    if len(np.intersect1d(a, b, assume_unique=True)) < need - 1e-9:
+        return quick
+    x, y = plain_a[np.isin(plain_a, plain_b)], plain_b[np.isin(plain_b, plain_a)]
+    if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):
+        return quick
+    length = common_length(x, y, int(np.ceil(need - 1e-9)))
+    return length / (n + m - length)
+
+
 def _signed(texts: DataFrame) -> DataFrame:
     """A row per different text: ``node`` (its digest), ``doc_id`` (smallest), ``bands``; none for texts without words."""
 
@@ -166,9 +240,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
                 both, where = pd.factorize(pd.concat([part["tu"], part["tv"]], ignore_index=True))
-                kmers, bounds = labelled_kmers(where.tolist())
+                plain, kmers, bounds = plain_and_labelled_kmers(where.tolist())
                 k = len(part)
-                good = [alignment_similarity(kmers[bounds[x] : bounds[x + 1]], kmers[bounds[y] : bounds[y + 1]], threshold) >= threshold - 1e-12 for x, y in zip(both[:k], both[k:])]
+                of = [slice(lo, hi) for lo, hi in zip(bounds[:-1], bounds[1:])]
+                good = [text_similarity(kmers[of[x]], kmers[of[y]], plain[of[x]], plain[of[y]], threshold) >= threshold - 1e-12 for x, y in zip(both[:k], both[k:])]
                 yield part.loc[np.array(good, bool), ["u", "v"]]
 
     left = texts.select(F.col("node").alias("u"), F.col("t").alias("tu"))
@@ -195,11 +270,11 @@ def _compared(placed: DataFrame, minor: DataFrame, texts: DataFrame, threshold:
         out: list[tuple[str, str]] = []
         if len(left) and len(right):
             names, places = left["node"].to_numpy(), left["component"].to_numpy()
-            kmers, bounds = labelled_kmers(left["t"].tolist())
+            plain, kmers, bounds = plain_and_labelled_kmers(left["t"].tolist())
             sizes = np.diff(bounds)
             order = np.argsort(kmers, kind="stable")
             listed, holder = kmers[order], np.repeat(np.arange(len(names)), sizes)[order]
-            asked, ends = labelled_kmers(right["xt"].tolist())
+            plain_asked, asked, ends = plain_and_labelled_kmers(right["xt"].tolist())
             for i, (name, place) in enumerate(zip(right["xnode"], right["xcomponent"])):
                 mine = asked[ends[i] : ends[i + 1]]
                 lo, hi = np.searchsorted(listed, mine, "left"), np.searchsorted(listed, mine, "right")
@@ -208,7 +283,8 @@ def _compared(placed: DataFrame, minor: DataFrame, texts: DataFrame, threshold:
                 common = np.bincount(holder[at], minlength=len(names))
                 near = np.flatnonzero((common >= threshold * (len(mine) + sizes) / (1 + threshold) - 1e-9) & (places != place))
                 for j in near.tolist():
-                    if alignment_similarity(mine, kmers[bounds[j] : bounds[j + 1]], threshold) >= threshold - 1e-12:
+                    other = slice(bounds[j], bounds[j + 1])
+                    if text_similarity(mine, kmers[other], plain_asked[ends[i] : ends[i + 1]], plain[other], threshold) >= threshold - 1e-12:
                         out.append((max(name, names[j]), min(name, names[j])))
         return pd.DataFrame(out, columns=["u", "v"], dtype="str")
 

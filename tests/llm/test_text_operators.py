@@ -92,6 +92,59 @@ def test_near_duplicates_match_brute_force(spark):
     assert order_minhash.deduplicate(docs(spark, texts)).count() == len(set(root))
 
 
+def plain_alignment(a, b):
+    """Aligned Jaccard of the five-word k-mers of two texts, by the textbook table."""
+    x, y = ([tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))] for w in (a.split(), b.split()))
+    row = [0] * (len(y) + 1)
+    for c in x:
+        last = row
+        row = [0]
+        for j, d in enumerate(y):
+            row.append(last[j] + 1 if c == d else max(last[j + 1], row[j]))
+    return row[-1] / (len(x) + len(y) - row[-1])
+
+
+def lines_and_words(rng, copies, line, own):
+    repeated = " ".join(rng.choices(WORDS, k=line))
+    return [repeated + " " + " ".join(rng.choices(WORDS, k=own)) for _ in range(copies)]
+
+
+def test_alignment_of_repeated_kmers():
+    rng = random.Random(5)
+    pairs = []
+    for copies, line, own in ((10, 20, 40), (12, 12, 30), (30, 6, 2), (4, 9, 60)):
+        parts = lines_and_words(rng, copies, line, own)
+        whole = " ".join(parts)
+        dropped = " ".join([*parts[:copies // 2], *parts[copies // 2 + 1 :]])
+        words = whole.split()
+        pairs += [(whole, " ".join(words[line:])), (" ".join(words[line:]), whole), (whole, dropped), (whole, " ".join(parts[1:] + parts[:1])), (whole, near(whole, 4, copies)), (whole, whole[: len(whole) // 2])]
+    pairs += [(" ".join(rng.choices("abc", k=rng.randint(1, 90))), " ".join(rng.choices("abc", k=rng.randint(1, 90)))) for _ in range(40)]
+    pairs += [("a b c " * 60, "b c " + "a b c " * 55), ("x " * 300, "x " * 250), ("x " * 300, "x " * 230)]
+    over = 0
+    for a, b in pairs:
+        plain, kmers, bounds = order_minhash.plain_and_labelled_kmers([a, b])
+        one, two = slice(0, bounds[1]), slice(bounds[1], bounds[2])
+        want = plain_alignment(a, b)
+        for threshold in (0.5, 0.8):
+            got = order_minhash.text_similarity(kmers[one], kmers[two], plain[one], plain[two], threshold)
+            assert got <= want + 1e-12 and (got >= threshold - 1e-12) == (want >= threshold - 1e-12)
+        length = order_minhash.common_length(plain[one], plain[two], 0)
+        assert length / (bounds[2] - length) == pytest.approx(want)
+        over += want >= 0.8
+    assert over > 12
+
+
+def test_near_duplicates_with_a_repeated_line_dropped(spark):
+    rng = random.Random(6)
+    texts = []
+    for copies, line, own in ((10, 20, 40), (12, 12, 30)):
+        whole = " ".join(lines_and_words(rng, copies, line, own))
+        texts += [whole, " ".join(whole.split()[line:])]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicate_report(docs(spark, texts)).collect()}
+    assert plain_alignment(texts[0], texts[1]) >= 0.8 and plain_alignment(texts[2], texts[3]) >= 0.8
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16))
