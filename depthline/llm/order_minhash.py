@@ -22,7 +22,10 @@ copies costs one comparison each.
 
 Defined results: a null text counts as empty; equal texts (empty ones too) are one
 class; a text of fewer than five words is one k-mer; repeated rows share their class;
-``doc_id`` and ``text`` are read, other columns may have any name.
+a class is told by ``component``, the smallest digest of its texts, as ``doc_id`` may be
+null or repeated on different texts; one row of each class is kept, the one with the
+smallest ``doc_id``, nulls last; ``doc_id`` and ``text`` are read, other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -292,7 +295,11 @@ def _compared(placed: DataFrame, minor: DataFrame, texts: DataFrame, threshold:
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``uid, doc_id, class_id`` for every row; ``class_id`` is the smallest ``doc_id`` of the class."""
+    """``uid, doc_id, class_id, component, kept`` for every row.
+
+    ``component`` tells classes apart; ``class_id`` is the smallest ``doc_id`` of the class,
+    which different classes may share; ``kept`` holds for one row of each class.
+    """
     return _classes(numbered(docs.select(docs["doc_id"], docs["text"]), "omh-docs"), similarity)
 
 
@@ -323,19 +330,19 @@ def _classes(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more = stored(_compared(placed, minor, texts, similarity), "omh-more")
     if more.limit(1).count():
         found = components(links.union(more))
-    classed = rows.join(found, "node", "left").select("uid", "doc_id", F.coalesce("component", "node").alias("component"))
-    smallest = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return classed.join(smallest, "component").select("uid", "doc_id", "class_id")
+    classed = rows.join(found, "node", "left").select("uid", "doc_id", "node", F.coalesce("component", "node").alias("component"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "uid"))
+    smallest = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"), first["uid"].alias("keep"))
+    return classed.join(smallest, "component").select("uid", "doc_id", "class_id", "component", (F.col("uid") == F.col("keep")).alias("kept"))
 
 
 def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
     """Per row ``doc_id``, its class and whether it stands for the class."""
-    return near_duplicate_classes(docs, **options).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return near_duplicate_classes(docs, **options).select("doc_id", "class_id", "component", "kept")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, the one with the smallest ``doc_id``."""
+    """One row of each class, the one with the smallest ``doc_id``, nulls last."""
     table = numbered(docs, "omh-docs")
-    classes = _classes(table, **options)
-    least = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "uid"))["uid"].alias("keep"))
-    return table.join(least, F.col("_uid") == F.col("keep"), "left_semi").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    kept = _classes(table, **options).where("kept").select("uid")
+    return table.join(kept, F.col("_uid") == F.col("uid"), "left_semi").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -145,6 +145,17 @@ def test_near_duplicates_with_a_repeated_line_dropped(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
+def test_null_and_repeated_ids_keep_different_texts(spark):
+    copy = near(BASE[0], 1, 1)
+    rows = [(None, BASE[0]), (None, BASE[1]), (None, None), (7, BASE[2]), (7, BASE[3]), (7, BASE[3]), (None, BASE[4]), (9, BASE[4]), (8, copy)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, order_minhash.deduplicate(d).collect()), key=repr)
+    assert kept == sorted([(8, copy), (None, BASE[1]), (None, None), (7, BASE[2]), (7, BASE[3]), (9, BASE[4])], key=repr)
+    report = order_minhash.near_duplicate_report(d).collect()
+    assert len(report) == len(rows) and sum(r["kept"] for r in report) == len({r["component"] for r in report}) == 6
+    assert sorted((r["class_id"] for r in report), key=repr) == sorted([8, None, None, 7, 7, 7, 9, 9, 8], key=repr)
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16))
