@@ -223,6 +223,14 @@ def test_main_text(spark):
     assert got[4]["text"] == got[5]["text"] == "" and got[6]["text"] == ("long words here " * 9).strip() and got[7]["text"].startswith("A & B")
 
 
+def test_main_text_of_pages_that_come_twice(spark):
+    made = lambda body: f"<html><body><div class=strip>short strip</div>{body}</body></html>"
+    different = [made(f"<div class=story><p>{'plain story words ' * 9}{i}</p></div>") for i in range(5)] + [made("<main><p>rare</p></main>")]
+    page_rows = [(2 * i + k, f"http://twice.org/{i}", page) for i, page in enumerate(different) for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in template_text.main_texts(spark.createDataFrame(page_rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(10)] == [f"{'plain story words ' * 9}{k // 2}" for k in range(10)]
+
+
 def test_url_rules_and_trees(spark):
     urls = ["https://a.org/x", "http://m.EXAMPLE.org/es/1", "http://example.org/en/12", "http://x.com/de/", "http://x.com/fr/?q", "http://casino-win.example.net/en/1", "http://blog.thore.example.net/en/17", None, "nothing", "http://y.org"]
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
