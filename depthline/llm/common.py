@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +19,15 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) a local folder is set.
+    Where the session names none, a session on one machine (as in tests) gets a local
+    folder; on a cluster that is an error, as executors would write to their own disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = getattr(spark, "_depthline_dir", None)
         if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = spark._depthline_dir = "file://" + tempfile.mkdtemp(prefix="depthline-")
     return path.rstrip("/")
 
@@ -37,26 +41,61 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+_INNERMOST: ContextVar = ContextVar("scratch", default=None)
+
+
+class Scratch:
+    """Tables in the shared folder that last until it is closed.
 
-    This cuts the lineage: a lost executor costs no more than the tasks that
-    read the table.  The table is removed when the driver's process ends.
+    Inside a ``with`` block every ``stored`` table belongs to the innermost scratch, so
+    an operator's intermediates go as soon as its result is written.  Without one,
+    tables last until the driver's process ends.
     """
-    spark = df.sparkSession
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.outer = _INNERMOST.get()
+        _INNERMOST.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _INNERMOST.set(self.outer)
+        self.close()
+
+    def close(self) -> None:
+        while self.paths:
+            _delete(self.spark, self.paths.pop())
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a stored table that outlives this scratch: it belongs to the one around it."""
+        return stored(df, name, self.outer)
+
+
+_OWN = object()
+
+
+def scratch_path(spark: SparkSession, name: str, scratch=_OWN) -> str:
+    """A new path in the shared folder; what is written there goes with the scratch or at the process's end."""
+    scratch = _INNERMOST.get() if scratch is _OWN else scratch
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if scratch is None:
+        atexit.register(_delete, spark, path)
+    else:
+        scratch.paths.append(path)
+    return path
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` as ``_row``, each with a number ``_uid``, written to the shared folder.
+def stored(df: DataFrame, name: str, scratch=_OWN) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
 
-    How a table is cut into partitions depends on the executors at hand, so row numbers
-    taken in two reads may differ where executors come or go; numbers read from here do not.
+    This cuts the lineage: a lost executor costs no more than the tasks that read the table.
     """
-    return stored(docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct(*[docs[c] for c in docs.columns]).alias("_row")), name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name, scratch)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

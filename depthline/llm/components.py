@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthline.llm.common import stored
+from depthline.llm.common import Scratch, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,15 +24,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, component``: the smallest node reachable, for every node that has an edge to another."""
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    """``node, component``: the smallest node reachable, for every node that has an edge to another.
+
+    A round's edges go as soon as the next round's are written.
+    """
+    spark = edges.sparkSession
+    last = Scratch(spark)
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges", last)
     mark = None
     for _ in range(rounds):
-        now = stored(_star(_star(now, True), False), "edges")
+        newer = Scratch(spark)
+        now = stored(_star(_star(now, True), False), "edges", newer)
+        last.close()
+        last = newer
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    both = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stored(both, "components")
+    last.close()
+    return out

@@ -3,21 +3,27 @@
 Plan.  Sources get targets in words (weights, at most ``max_repeats`` times what a
 source has, the excess reshared).  A target is whole passes over the source plus a
 remainder.  Each source's documents lie in blocks: a keyed hash permutes them, so
-block ``b`` holds the ``b``-th slice of the permuted source.  The remainder takes
-the first blocks of that order and, in the block where the quota ends, the first
-documents.  Draws of blocks are then dealt to output shards: a binary tree halves
-the shards, and at each node the quota vector of the sources is split by one
-multivariate-hypergeometric draw, so shards have equal numbers of block draws and
-exact totals per source.  Each leaf takes disjoint runs of the permuted blocks, and
-documents are shuffled inside their shard by another keyed hash.
-
-Only the table of sources (a row for each source, as the weights have) and the
-``sources x shards`` plan go through the driver.  Sums over a source are taken in
-levels of ``FANOUT`` blocks, so no task holds more than ``FANOUT`` rows of a key.
-
-Defined results: a null text has size 0; a null source is a source of its own,
-last; sources of size 0 have target 0; an empty table gives an empty table; equal
-rows are separate documents.  Only ``doc_id``, ``text`` and ``source`` are read.
+block ``b`` holds the ``b``-th slice of the permuted source.  A source's quota is its
+blocks once per pass and, for the remainder, the first blocks of the permutation; of the
+last of these only the documents whose hash is under a cut.  Draws of blocks are dealt
+to output shards: a binary tree halves the shards, and at each node the quota vector of
+the sources is split by one multivariate-hypergeometric draw, so shards have equal
+numbers of block draws and exact totals per source.  A shard's part of a source is a run
+of block draws, disjoint from all other shards' runs.  A document is taken once for every
+draw of its block that a shard's run holds; ``mix`` writes it to those shards, shuffled
+there by another keyed hash, and ``mix_report`` counts the same draws.
+
+So what a row contributes follows from its own hash and its source's plan: documents are
+never numbered, and their texts cross the network once, on the way to their shard.  Sums
+over a source's blocks are taken in levels of ``FANOUT``, so no task holds more than
+``FANOUT`` rows of a key.  The plan has a row per source and is broadcast; its size is
+checked: more than ``MAX_SOURCES`` sources are an error, not a silent cut.
+
+Defined results: a null text has size 0; a null source is a source of its own, last;
+sources of size 0 have target 0; an empty table gives an empty table; rows that repeat
+``doc_id``, ``source`` and ``text`` share their hash, and where the cut falls among them, a
+second hash of their place in the input picks the share that fits; other columns may
+have any name.  Only ``doc_id``, ``text`` and ``source`` are read.
 """
 
 from __future__ import annotations
@@ -29,9 +35,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depthline.llm.common import WORD_PATTERN, numbered, stored, text_of
+from depthline.llm.common import WORD_PATTERN, Scratch, stored, text_of
 
 FANOUT = 1024
+#: Rows of the plan at most; with 16 shards a row is about 250 bytes.
+MAX_SOURCES = 50_000
+#: Block draws of the tree at most; blocks hold more documents where there would be more draws.
+MAX_DRAWS = 400_000_000
 
 
 def water_fill(sizes: list[int], weights: list[float], max_repeats: float) -> list[float]:
@@ -98,19 +108,26 @@ def _unit(h: Column) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
-def document_sizes(docs: DataFrame, seed: int, uid: Column | None = None) -> DataFrame:
-    """``uid, doc_id, source, size, h``: what mixing needs of each row; the texts stay where they are."""
-    text = text_of(docs)
-    rows = docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"))
-    return rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
+def _hash(docs: DataFrame, seed: int) -> Column:
+    """A row's place in its source's permutation."""
+    return F.xxhash64(F.lit(seed), docs["doc_id"], docs["source"].cast("string"), docs["text"].cast("string"))
 
 
-def plan_mix(sizes: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0, docs_per_block: int = 64) -> list[dict]:
+def document_sizes(docs: DataFrame, seed: int) -> DataFrame:
+    """``doc_id, source, size, h``: what mixing needs of each row; the texts stay where they are."""
+    size = F.regexp_count(text_of(docs), F.lit(WORD_PATTERN)).cast("long")
+    return docs.select(docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), _hash(docs, seed).alias("h"))
+
+
+def plan_sources(sizes: DataFrame, weight_cycle: tuple[float, ...], max_repeats: float, docs_per_block: int) -> list[dict]:
     """A row per source with its target, passes, remainder and number of blocks."""
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: give coarser ones")
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass")))
     totals = [int(r["size"]) for r in rows]
     targets = water_fill(totals, [weight_cycle[i % len(weight_cycle)] for i in range(len(rows))], max_repeats)
+    docs_per_block = max(docs_per_block, math.ceil((max_repeats + 1) * sum(r["n"] for r in rows) / MAX_DRAWS))
     out = []
     for i, (r, size, target) in enumerate(zip(rows, totals, targets)):
         passes = int(target // size) if size else 0
@@ -120,66 +137,103 @@ def plan_mix(sizes: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0)
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small driver-side table as a DataFrame, without Python on the executors."""
-    names = [c.split()[0] for c in schema.split(",")]
+    names = [c.split()[0] for c in schema.split(", ")]
     text = json.dumps([dict(zip(names, r)) for r in rows])
-    fields = ",".join(c.strip().replace(" ", ":") for c in schema.split(","))
+    fields = ",".join(c.replace(" ", ":", 1) for c in schema.split(", "))
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
 
 
-def mix_sizes(docs: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0, docs_per_block: int = 64, shards: int = 16, seed: int = 17, uid: Column | None = None) -> tuple[DataFrame, list[dict], list[tuple]]:
-    """Per row ``uid, doc_id, source, size, sid, source_size, target, block, passes, extra``; the plan; the shard runs."""
-    spark = docs.sparkSession
-    sizes = stored(document_sizes(docs, seed, uid), "mix-sizes")
-    plan = plan_mix(sizes, weight_cycle, max_repeats, docs_per_block)
-    schema = "sid long, source string, source_size long, target double, passes long, rest double, blocks long"
-    table = _values(spark, [tuple(float(p[c]) if c in ("target", "rest") else p[c] for c in ("sid", "source", "source_size", "target", "passes", "rest", "blocks")) for p in plan], schema)
-    keyed = sizes.join(table.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    keyed = keyed.withColumn("block", F.floor(_unit(F.col("h")) * F.col("blocks")))
-    most = max([p["blocks"] for p in plan], default=1)
-    levels = max(1, math.ceil(math.log(most + 1, FANOUT)))
+_PLAN = "sid long, source string, source_size long, target double, passes long, rest double, blocks long"
+
+
+def _table(spark: SparkSession, plan: list[dict], schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return _values(spark, [tuple(p[c] for c in names) for p in plan], schema)
+
+
+def _block(h: Column, blocks: Column) -> Column:
+    return F.floor(_unit(h) * blocks)
+
+
+def _cuts(sizes: DataFrame, plan: list[dict]) -> dict[int, dict]:
+    """Per source with a remainder: the block where its quota ends, the cut in it and the share of rows at the cut.
+
+    A row of that block is in the last draw when its hash is under the cut, or at it with
+    a chance of ``share``.
+    """
+    table = F.broadcast(_table(sizes.sparkSession, plan, _PLAN).withColumnRenamed("source", "_s"))
+    keyed = sizes.join(table, F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", _block(F.col("h"), F.col("blocks")))
+    levels = max(1, math.ceil(math.log(max(p["blocks"] for p in plan) + 1, FANOUT)))
     blocks = keyed.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    blocks = stored(_prefix(blocks, ["sid"], "block", "words", levels), "mix-blocks")
-    state = blocks.select("sid", "block", F.col("before").alias("b0"), (F.col("before") + F.col("words") <= F.col("rest")).alias("whole"), (F.col("before") < F.col("rest")).alias("begun"))
-    rows = keyed.join(state.where("begun").drop("begun"), ["sid", "block"], "left")
-    inside = rows.where("b0 IS NOT NULL AND NOT whole")
-    w = Window.partitionBy("sid", "block").orderBy("h", "doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    edge = inside.withColumn("at", F.col("b0") + F.coalesce(F.sum("size").over(w), F.lit(0))).where("at + size / 2 <= rest").select("uid", F.lit(True).alias("edge"))
-    rows = rows.join(edge, "uid", "left")
-    extra = F.when(F.coalesce(F.col("whole"), F.lit(False)) | F.coalesce(F.col("edge"), F.lit(False)), 1).otherwise(0)
-    rows = rows.withColumn("extra", extra.cast("long"))
-    begun = {r["sid"]: r["n"] for r in state.where("begun").groupBy("sid").agg((F.max("block") + 1).alias("n")).collect()}
-    quotas = [p["passes"] * p["blocks"] + begun.get(p["sid"], 0) for p in plan]
-    runs = []
-    if plan:
-        ends = np.cumsum(split_tree(quotas, shards, seed), axis=0)
-        runs = [(i, k, int(ends[k - 1, i]) if k else 0, int(ends[k, i])) for i in range(len(plan)) for k in range(shards)]
-    return rows, plan, runs
-
-
-def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """Per row its ``size``, its source's ``source_size`` and ``target``, and ``taken``: the words the mix takes of it."""
-    rows, _, _ = mix_sizes(docs, **options)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("extra"))).alias("taken"))
-
-
-def mix(docs: DataFrame, seed: int = 17, shards: int = 16, **options) -> DataFrame:
-    """The mixed documents: all columns of ``docs``, each row as often as the mix takes it.
+    placed = _prefix(blocks, ["sid"], "block", "words", levels).where("before < rest")
+    last = placed.groupBy("sid").agg(F.max(F.struct("block", "before")).alias("last")).select("sid", "last.*")
+    # Rows of one hash are one group, however many they are.
+    groups = keyed.join(F.broadcast(last), ["sid", "block"]).groupBy("sid", "block", "h").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first("before").alias("b0"), F.first("rest").alias("rest"))
+    w = Window.partitionBy("sid", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    at = groups.withColumn("at", F.col("b0") + F.coalesce(F.sum("words").over(w), F.lit(0))).withColumn("each", F.col("words") / F.col("n"))
+    # As many rows of the group as bring the sum nearest to the remainder.
+    fits = F.when(F.col("each") > 0, F.least(F.col("n"), F.floor((F.col("rest") - F.col("at")) / F.col("each") + 0.5))).otherwise(F.col("n"))
+    cut = at.where("at < rest").groupBy("sid").agg(F.max(F.struct("h", (fits / F.col("n")).alias("share"), "block")).alias("c")).select("sid", "c.*")
+    return {r["sid"]: r for r in cut.collect()}
+
+
+def plan_mix(sizes: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0, docs_per_block: int = 64, shards: int = 16, seed: int = 17) -> list[dict]:
+    """The whole plan: per source its target, blocks, cut and ``ends``, where the shards' runs of block draws end."""
+    plan = plan_sources(sizes, weight_cycle, max_repeats, docs_per_block)
+    if not plan:
+        return []
+    cuts = _cuts(sizes, plan)
+    for p in plan:
+        c = cuts.get(p["sid"])
+        p["edge"], p["cut"], p["share"] = (int(c["block"]), int(c["h"]), float(c["share"])) if c else (-1, 0, 0.0)
+    quotas = [p["passes"] * p["blocks"] + p["edge"] + 1 for p in plan]
+    ends = np.cumsum(split_tree(quotas, shards, seed), axis=0)
+    for i, p in enumerate(plan):
+        p["ends"] = ends[:, i].tolist()
+    return plan
+
+
+_FULL = _PLAN.replace(", rest double", "") + ", edge long, cut long, share double, ends array<long>"
+
+
+def draws(spark: SparkSession, plan: list[dict], rows: DataFrame, seed: int = 17) -> DataFrame:
+    """``rows`` (with ``source, h``) with ``source_size, target`` and ``draws``: structs ``turn, shard`` of the draws that hold the row."""
+    table = F.broadcast(_table(spark, plan, _FULL).withColumnRenamed("source", "_s"))
+    joined = rows.join(table, F.col("source").eqNullSafe(F.col("_s")))
+    block = _block(F.col("h"), F.col("blocks"))
+    # In the block where the quota ends the last draw holds the rows under the cut.
+    chance = _unit(F.xxhash64(F.lit(seed + 2), "h", F.monotonically_increasing_id()))
+    inside = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & ((F.col("share") >= 1) | (chance < F.col("share"))))
+    joined = joined.withColumn("_block", block).withColumn("_in", (F.col("_block") != F.col("edge")) | inside)
+    shard_of = lambda draw: F.size(F.filter("ends", lambda e: e <= draw)).cast("long")
+    turns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda t: F.struct(t.alias("turn"), shard_of(t * F.col("blocks") + F.col("_block")).alias("shard")))
+    held = F.filter(turns, lambda d: (d["shard"] < F.size("ends")) & (F.col("_in") | (d["turn"] < F.col("passes"))))
+    return joined.withColumn("draws", held).drop("_s", "_block", "_in")
+
+
+def mix_report(docs: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0, docs_per_block: int = 64, shards: int = 16, seed: int = 17) -> DataFrame:
+    """Per row its ``size``, its source's ``source_size`` and ``target``, ``taken``: the words of all draws that hold it, and ``shards`` of the draws."""
+    sizes = stored(document_sizes(docs, seed), "mix-sizes")
+    plan = plan_mix(sizes, weight_cycle, max_repeats, docs_per_block, shards, seed)
+    if not plan:
+        return sizes.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("shards"))
+    rows = draws(docs.sparkSession, plan, sizes, seed)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
+
+
+def mix(docs: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0, docs_per_block: int = 64, shards: int = 16, seed: int = 17) -> DataFrame:
+    """The mixed documents: all columns of ``docs``, each row once for every draw that holds it.
 
     Rows lie in their shard, shuffled; ``shards`` is the number of output shards.
     """
-    columns = docs.columns
-    body = numbered(docs, "mix-docs")
-    read = body.select("_uid", *[F.col("_row")[c].alias(c) for c in ("doc_id", "source", "text")])
-    rows, _, runs = mix_sizes(read, seed=seed, shards=shards, uid=read["_uid"], **options)
     spark = docs.sparkSession
-    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") + F.col("extra") - 1)).alias("turn")
-    draws = rows.where("passes + extra > 0").select("uid", "sid", "block", "blocks", "h", turns)
-    draws = draws.withColumn("draw", F.col("turn") * F.col("blocks") + F.col("block"))
-    table = _values(spark, runs, "sid long, shard long, lo long, hi long") if runs else None
-    if table is None:
+    with Scratch(spark):
+        plan = plan_mix(stored(document_sizes(docs, seed), "mix-sizes"), weight_cycle, max_repeats, docs_per_block, shards, seed)
+    if not plan:
         return docs.limit(0)
-    placed = draws.join(table, ["sid"]).where("draw >= lo AND draw < hi").select("uid", "shard", F.xxhash64(F.lit(seed + 1), "h", "uid", "turn").alias("mixed"))
-    out = body.join(placed, F.col("_uid") == F.col("uid"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["source"].cast("string").alias("source"), _hash(docs, seed).alias("h"))
+    placed = draws(spark, plan, rows, seed).select("_row", "h", F.explode("draws").alias("d"))
+    mixed = placed.select("_row", F.col("d.shard").alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "d.turn").alias("mixed"))
     parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = out.repartition(parts, "shard", F.pmod(F.col("mixed"), F.lit(max(1, parts // shards)))).sortWithinPartitions("shard", "mixed")
-    return out.select(*[F.col("_row")[c].alias(c) for c in columns])
+    out = mixed.repartition(parts, "shard", F.pmod(F.col("mixed"), F.lit(max(1, parts // shards)))).sortWithinPartitions("shard", "mixed")
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

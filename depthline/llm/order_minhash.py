@@ -18,7 +18,12 @@ node is verified against one leader, the node whose bands are most common; after
 components of those links, only nodes outside a band's largest component are compared
 with the band's nodes of other components, in blocks that return links alone.  So every
 link between different components of a band is looked at, and a group of thousands of
-copies costs one comparison each.
+copies costs one comparison each.  Pairs whose lengths rule a link out never meet: a
+band's nodes are dealt by the logarithm of their length, and a node asks the classes of
+length next to its own only; a pair that shares several bands is looked at in the first.
+
+Rows are told apart by digest and ``doc_id``, so texts are read where they are and never
+numbered or copied; intermediate tables go when the classes are written.
 
 Defined results: a null text counts as empty; equal texts (empty ones too) are one
 class; a text of fewer than five words is one k-mer; repeated rows share their class;
@@ -37,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthline.llm.common import mix, numbered, stored, word_hashes
+from depthline.llm.common import Scratch, mix, stored, text_of, word_hashes
 from depthline.llm.components import components
 
 WORDS = 5
@@ -81,8 +86,8 @@ def plain_and_labelled_kmers(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return kmers, mix(kmers + occurrence * np.uint64(0x9E3779B97F4A7C15)), out_bounds
 
 
-def band_keys(texts, seed: int = 1) -> np.ndarray:
-    """``[text, band]`` keys; rows of texts without words are zero."""
+def band_keys(texts, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of k-mers and ``[text, band]`` keys; keys of texts without words are zero."""
     kmers, bounds = labelled_kmers(texts)
     n = len(bounds) - 1
     keys = np.zeros((n, BANDS), np.uint64)
@@ -115,7 +120,7 @@ def band_keys(texts, seed: int = 1) -> np.ndarray:
                 sketch = mix(va * np.uint64(3) + mix(vb + np.uint64(row + 7)))
                 keys[part, band] = mix(keys[part, band] + sketch)
         lo = hi
-    return keys
+    return sizes, keys
 
 
 def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
@@ -223,16 +228,16 @@ def text_similarity(a: np.ndarray, b: np.ndarray, plain_a: np.ndarray, plain_b:
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """A row per different text: ``node`` (its digest), ``doc_id`` (smallest), ``bands``; none for texts without words."""
+    """``node, size, bands`` of each text: its digest, number of k-mers and band keys."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.iloc[lo : lo + 1024]
-                keys = band_keys(part["t"].tolist())
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "bands": list(keys.view(np.int64))})
+                sizes, keys = band_keys(part["t"].tolist())
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "size": sizes, "bands": list(keys.view(np.int64))})
 
-    return texts.mapInPandas(run, "node string, bands array<long>")
+    return texts.mapInPandas(run, "node string, size long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -254,6 +259,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInPandas(run, "u string, v string")
 
 
+def _length_class(size, threshold: float):
+    """Linked texts lie in the same length class or in neighbouring ones.
+
+    A link at similarity s needs min / max >= s of the numbers of k-mers.
+    """
+    return F.floor(F.log(size) / F.lit(np.log(1 / max(threshold - 0.01, 0.01)))).cast("int")
+
+
 def _compared(placed: DataFrame, minor: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links between a band's smaller components and all its other nodes, compared block by block.
 
@@ -261,55 +274,62 @@ def _compared(placed: DataFrame, minor: DataFrame, texts: DataFrame, threshold:
     Shared k-mers are counted through the block's own index of k-mers; only pairs that
     share enough are aligned, and only links leave the task.
     """
-    keys = ["band", "key"]
-    less = placed.join(minor, [*keys, "component"], "left_semi")
-    load = less.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")).join(placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ps")), keys)
+    keys = ["band", "key", "length"]
+    placed = placed.withColumn("length", _length_class(F.col("size"), threshold))
+    less = placed.join(minor, ["band", "key", "component"], "left_semi").withColumn("own", F.col("length"))
+    less = less.withColumn("length", F.explode(F.array(*[F.col("own") + d for d in (-1, 0, 1)])))
+    load = less.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")).join(placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ps"), F.min("component").alias("c0"), F.max("component").alias("c1")), keys)
     spread = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    all_ = placed.join(load, keys).join(texts, "node").select(*keys, spread("ps").alias("p"), copies("qs").alias("q"), "node", "component", "t")
-    few = less.join(load, keys).join(texts, "node").select(F.col("band").alias("xband"), F.col("key").alias("xkey"), copies("ps").alias("xp"), spread("qs").alias("xq"), F.col("node").alias("xnode"), F.col("component").alias("xcomponent"), F.col("t").alias("xt"))
+    # A group that is all of one component has nothing to ask a node of that component.
+    few = less.join(load, keys).where(~((F.col("c0") == F.col("component")) & (F.col("c1") == F.col("component"))))
+    load = load.join(few.select(*keys).distinct(), keys, "left_semi")
+    all_ = placed.join(load, keys).join(texts, "node").select(*keys, spread("ps").alias("p"), copies("qs").alias("q"), "node", "component", "bands", "t")
+    few = few.join(texts, "node").select(*[F.col(k).alias(f"x{k}") for k in keys], copies("ps").alias("xp"), spread("qs").alias("xq"), F.col("node").alias("xnode"), F.col("component").alias("xcomponent"), F.col("bands").alias("xbands"), F.col("t").alias("xt"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[str, str]] = []
         if len(left) and len(right):
             names, places = left["node"].to_numpy(), left["component"].to_numpy()
+            band, held = int(left["band"].iloc[0]), np.stack(left["bands"].to_numpy())
+            asking = np.stack(right["xbands"].to_numpy())
+            # Pairs of different components whose first common band this one is.
+            wanted = [np.flatnonzero((places != place) & ~(held[:, :band] == asked_[:band]).any(1)) for place, asked_ in zip(right["xcomponent"], asking)]
+            some = np.flatnonzero([len(w) > 0 for w in wanted])
+            if not len(some):
+                return pd.DataFrame(out, columns=["u", "v"], dtype="str")
             plain, kmers, bounds = plain_and_labelled_kmers(left["t"].tolist())
             sizes = np.diff(bounds)
             order = np.argsort(kmers, kind="stable")
             listed, holder = kmers[order], np.repeat(np.arange(len(names)), sizes)[order]
-            plain_asked, asked, ends = plain_and_labelled_kmers(right["xt"].tolist())
-            for i, (name, place) in enumerate(zip(right["xnode"], right["xcomponent"])):
+            plain_asked, asked, ends = plain_and_labelled_kmers(right["xt"].iloc[some].tolist())
+            for i, k in enumerate(some.tolist()):
                 mine = asked[ends[i] : ends[i + 1]]
                 lo, hi = np.searchsorted(listed, mine, "left"), np.searchsorted(listed, mine, "right")
                 n = hi - lo
                 at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-                common = np.bincount(holder[at], minlength=len(names))
-                near = np.flatnonzero((common >= threshold * (len(mine) + sizes) / (1 + threshold) - 1e-9) & (places != place))
+                common = np.bincount(holder[at], minlength=len(names))[wanted[k]]
+                near = wanted[k][common >= threshold * (len(mine) + sizes[wanted[k]]) / (1 + threshold) - 1e-9]
+                name = right["xnode"].iloc[k]
                 for j in near.tolist():
                     other = slice(bounds[j], bounds[j + 1])
                     if text_similarity(mine, kmers[other], plain_asked[ends[i] : ends[i + 1]], plain[other], threshold) >= threshold - 1e-12:
                         out.append((max(name, names[j]), min(name, names[j])))
         return pd.DataFrame(out, columns=["u", "v"], dtype="str")
 
-    return all_.groupBy(*keys, "p", "q").cogroup(few.groupBy("xband", "xkey", "xp", "xq")).applyInPandas(run, "u string, v string").distinct()
-
+    return all_.groupBy(*keys, "p", "q").cogroup(few.groupBy(*[f"x{k}" for k in keys], "xp", "xq")).applyInPandas(run, "u string, v string").distinct()
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``uid, doc_id, class_id, component, kept`` for every row.
 
-    ``component`` tells classes apart; ``class_id`` is the smallest ``doc_id`` of the class,
-    which different classes may share; ``kept`` holds for one row of each class.
-    """
-    return _classes(numbered(docs.select(docs["doc_id"], docs["text"]), "omh-docs"), similarity)
+def _row_keys(docs: DataFrame) -> list:
+    """What tells rows apart: the text's digest and ``doc_id``."""
+    return [F.md5(text_of(docs)).alias("node"), docs["doc_id"].cast("long").alias("doc_id")]
 
 
-def _classes(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Classes of a numbered table."""
-    text = F.coalesce(F.col("_row")["text"].cast("string"), F.lit(""))
-    source = table.select(F.col("_uid").alias("uid"), F.col("_row")["doc_id"].cast("long").alias("doc_id"), F.md5(text).alias("node"), text.alias("t"))
-    rows = stored(source.select("uid", "doc_id", "node"), "omh-rows")
-    firsts = rows.groupBy("node").agg(F.min("uid").alias("uid"))
-    bands = stored(_signed(source.select("node", "t")).dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "key")).where("key <> 0"), "omh-bands")
+def _links(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """``node, component`` of all texts that link with another text."""
+    source = docs.select(*_row_keys(docs), text_of(docs).alias("t"))
+    signed = stored(_signed(source.select("node", "t")).dropDuplicates(["node"]).where("size > 0"), "omh-signed")
+    bands = signed.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(bands.join(sizes, ["band", "key"]).select("band", "key", "node", "n"), "omh-shared")
     # The node whose bands are the most common ones is nearest to the middle of its group.
@@ -318,7 +338,9 @@ def _classes(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     grouped = stored(shared.join(leaders, ["band", "key"]).select("band", "key", F.col("node").alias("u"), "v"), "omh-grouped")
     stars = stored(grouped.where("u <> v").select("u", "v").distinct(), "omh-stars")
     wanted = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct()
-    one = source.join(firsts.join(wanted, "node", "left_semi").select("uid"), "uid", "left_semi").select("node", "t")
+    # One row of each text that is wanted: few copies are left by doc_id, the rest by the digest.
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
+    one = source.alias("s").join(firsts.alias("f"), (F.col("s.node") == F.col("f.node")) & F.col("s.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi").select("node", "t").dropDuplicates(["node"])
     texts = stored(one, "omh-texts")
     links = stored(_verified(stars, texts, similarity), "omh-links")
     found = components(links)
@@ -326,14 +348,37 @@ def _classes(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     placed = grouped.select("band", "key", F.col("u").alias("node")).join(found, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
     sizes = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("band", "key").orderBy(F.desc("n"), "component")
-    minor = sizes.withColumn("place", F.row_number().over(order)).where("place > 1").select("band", "key", "component")
-    more = stored(_compared(placed, minor, texts, similarity), "omh-more")
-    if more.limit(1).count():
-        found = components(links.union(more))
-    classed = rows.join(found, "node", "left").select("uid", "doc_id", "node", F.coalesce("component", "node").alias("component"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "uid"))
-    smallest = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"), first["uid"].alias("keep"))
-    return classed.join(smallest, "component").select("uid", "doc_id", "class_id", "component", (F.col("uid") == F.col("keep")).alias("kept"))
+    minor = stored(sizes.withColumn("place", F.row_number().over(order)).where("place > 1").select("band", "key", "component"), "omh-minor")
+    split = stored(placed.join(minor.select("band", "key").distinct(), ["band", "key"], "left_semi").join(signed, "node").select("band", "key", "node", "component", "size", "bands"), "omh-split")
+    more = stored(_compared(split, minor, texts, similarity), "omh-more")
+    return components(links.union(more)) if more.limit(1).count() else found
+
+
+def _nodes(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Per different text ``node, component, class_id, keep_node, keep_doc, copies``.
+
+    ``keep_*`` name the row that stands for the class, ``copies`` says how many rows have that name.
+    """
+    texts = rows.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")).alias("first"))
+    placed = texts.join(_links(docs, rows, similarity), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("first").alias("keep"))
+    return placed.join(smallest, "component").select("node", "component", F.col("keep.doc_id").alias("class_id"), F.col("keep.node").alias("keep_node"), F.col("keep.doc_id").alias("keep_doc"), F.col("keep.n").alias("copies"))
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id, component, kept`` for every row.
+
+    ``component`` tells classes apart; ``class_id`` is the smallest ``doc_id`` of the class,
+    which different classes may share; ``kept`` holds for one row of each class.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        rows = stored(docs.select(F.monotonically_increasing_id().alias("uid"), *_row_keys(docs)), "omh-rows")
+        nodes = stored(_nodes(docs, rows, similarity), "omh-nodes")
+        named = rows.join(nodes, "node").withColumn("named", (F.col("node") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("keep_doc")))
+        # Of rows that repeat digest and doc_id the one with the smallest number stands for the class.
+        first = rows.join(nodes.where("copies > 1 AND node = keep_node"), "node").where(F.col("doc_id").eqNullSafe(F.col("keep_doc"))).groupBy("node").agg(F.min("uid").alias("first_uid"))
+        kept = named.join(first, "node", "left").select("doc_id", "class_id", "component", (F.col("named") & (F.col("first_uid").isNull() | (F.col("uid") == F.col("first_uid")))).alias("kept"))
+        return scratch.result(kept, "omh-classes")
 
 
 def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
@@ -341,8 +386,19 @@ def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
     return near_duplicate_classes(docs, **options).select("doc_id", "class_id", "component", "kept")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, the one with the smallest ``doc_id``, nulls last."""
-    table = numbered(docs, "omh-docs")
-    kept = _classes(table, **options).where("kept").select("uid")
-    return table.join(kept, F.col("_uid") == F.col("uid"), "left_semi").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class, the one with the smallest ``doc_id``, nulls last.
+
+    Rows that repeat both text and ``doc_id`` are one row with the columns of any of them.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        rows = stored(docs.select(*_row_keys(docs)), "omh-rows")
+        keep = scratch.result(_nodes(docs, rows, similarity).where("node = keep_node").select("keep_node", "keep_doc", "copies"), "omh-keep")
+    node, doc = _row_keys(docs)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), node.alias("_node"), doc.alias("_doc"))
+    named = lambda k: (F.col("_node") == k["keep_node"]) & F.col("_doc").eqNullSafe(k["keep_doc"])
+    once, often = keep.where("copies = 1"), keep.where("copies > 1")
+    out = packed.join(once, named(once), "left_semi").select("_row")
+    if often.limit(1).count():
+        out = out.unionByName(packed.join(often, named(often), "left_semi").groupBy("_node", "_doc").agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

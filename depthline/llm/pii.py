@@ -9,25 +9,31 @@ labelled spans are ``TRAIN_ROWS`` generated ones, so training costs the same at
 size of the corpus.
 
 Generators are possessive patterns, linear in the text, and find the same leftmost
-spans as the plain forms.  Spans never hold a text: rows carry the gap before a
-match, and offsets come from running sums per document and kind.
-
-Defined results: a null text counts as empty and has no spans; repeated rows each
-get their own result; of the input only ``doc_id`` and ``text`` (and for ``redact``
-all columns, passed through) are read.  Offsets are code points, ends exclusive.
+spans as the plain forms.  Everything happens in the row: the gaps before matches become
+offsets by running sums, the fitted trees are one SQL expression over a candidate's
+features, and overlaps are settled with running maxima, so no document is shuffled,
+numbered or joined.  Running values are taken in blocks of about the square root of the
+number of candidates, as arrays cannot be appended to cheaply.
+
+Defined results: a null text counts as empty and has no spans (``redact`` leaves it null);
+repeated rows each get their own result; an empty table gives an empty table; of the input
+only ``doc_id`` and ``text`` are read (``redact`` passes all columns through, whatever
+their names).  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depthline.llm.common import let, numbered, text_of
+from depthline.llm.common import let, text_of
+from depthline.llm.trees import margin
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "phone_local", "national_id", "bank_account", "email_spelled")
@@ -60,20 +66,41 @@ def _has(text: Column, need: str) -> Column:
     return {"digit": text.rlike("[0-9]"), "at": F.lower(text).contains("at"), "=": text.contains("=") | text.contains(":")}.get(need, text.contains(need))
 
 
-def _found(text: Column, kind: str) -> Column:
-    """Array of (kind, k, gap, left, span, right) of one generator's matches."""
-    pattern, need = GENERATORS[kind]
+def running(values: Column, zero: Column, merge) -> Column:
+    """For each place of an array the merge of all values before it (``zero`` for the first).
+
+    In blocks of about the square root of the length: merges of whole blocks, merges of the
+    blocks before each, and inside a block of the values before a place.
+    """
+    def blocks(v: Column, width: Column) -> Column:
+        fold = lambda x: F.aggregate(x, zero, merge)
+        count = F.ceil(F.size(v) / width).cast("int")
+        whole = F.transform(F.sequence(F.lit(0), count - 1), lambda b: fold(F.slice(v, b * width + 1, width)))
+        tops = let(whole, lambda w: F.transform(w, lambda x, b: F.when(b == 0, zero).otherwise(fold(F.slice(w, 1, F.greatest(b, F.lit(1)))))))
+
+        def place(base: Column, b: Column) -> Column:
+            part = F.slice(v, b * width + 1, width)
+            return let(part, lambda p: F.transform(p, lambda x, i: F.when(i == 0, base).otherwise(F.aggregate(F.slice(p, 1, F.greatest(i, F.lit(1))), base, merge))))
+
+        return F.flatten(let(tops, lambda t: F.transform(t, place)))
+
+    return F.when(F.size(values) == 0, F.transform(values, lambda x: zero)).otherwise(let(values, lambda v: let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda w: blocks(v, w))))
+
+
+def _found(text: Column) -> Column:
+    """Array of (kind, start, end, left, span, right) of the matches of all generators."""
+    plus = lambda a, b: a + b
+
+    def matched(kind: str) -> Column:
+        pattern, need = GENERATORS[kind]
+        return F.when(_has(text, need), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, F.struct(F.lit(kind).alias("kind"), m.alias("matches"), F.split(text, pattern, -1).alias("pieces")))))
 
-    def both(pieces: Column, matches: Column) -> Column:
-        at = lambda i: F.get(pieces, i)
-        return F.transform(
-            matches,
-            lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("k"), F.length(at(i)).alias("gap"), F.right(at(i), F.lit(24)).alias("left"), m.alias("span"), F.left(at(i + 1), F.lit(8)).alias("right")),
-        )
+    def placed(g: Column) -> Column:
+        at = lambda i: F.get(g["pieces"], i)
+        steps = F.transform(g["matches"], lambda m, i: F.length(at(i)) + F.length(m))
+        return let(running(steps, F.lit(0), plus), lambda before: F.transform(g["matches"], lambda m, i: let(F.get(before, i) + F.length(at(i)), lambda start: F.struct(g["kind"].alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), F.right(at(i), F.lit(24)).alias("left"), m.alias("span"), F.left(at(i + 1), F.lit(8)).alias("right")))))
 
-    spans = let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: both(p, m)))
-    empty = F.array().cast("array<struct<kind:string,k:int,gap:int,left:string,span:string,right:string>>")
-    return F.when(_has(text, need), spans).otherwise(empty)
+    return F.flatten(F.transform(F.filter(F.array(*[matched(k) for k in GENERATORS]), lambda g: g.isNotNull()), placed))
 
 
 def _luhn(digits: Column) -> Column:
@@ -94,23 +121,22 @@ def _valid(kind: Column, span: Column) -> Column:
     )
 
 
-def _features(df: DataFrame) -> DataFrame:
-    """Format and context features of candidate rows (null spans give zeros)."""
-    s, left, right = F.coalesce("span", F.lit("")), F.coalesce("left", F.lit("")), F.coalesce("right", F.lit(""))
+def _features(c) -> list[Column]:
+    """Format and context features of a candidate (a struct column or a row's columns), in the order of ``FEATURES``."""
+    s, left, right = c["span"], c["left"], c["right"]
     count = lambda p: F.length(F.regexp_replace(s, f"[^{p}]+", "")).cast("double")
-    cols = {
-        "f_len": F.length(s).cast("double"),
-        "f_digits": count("0-9") / F.greatest(F.length(s), F.lit(1)),
-        "f_upper": count("A-Z") / F.greatest(F.length(s), F.lit(1)),
-        "f_lower": count("a-z") / F.greatest(F.length(s), F.lit(1)),
-        "f_seps": count(r"\x20().-"),
-        "f_distinct": F.size(F.array_distinct(F.split(s, ""))).cast("double"),
-        "f_left_word": left.rlike("[A-Za-z0-9]$").cast("double"),
-        "f_right_word": right.rlike("^[A-Za-z0-9]").cast("double"),
-    }
-    cols |= {f"f_{c}": F.concat(left, F.lit(" "), s).rlike(p).cast("double") for c, p in CUES.items()}
-    cols |= {f"f_{k}": F.coalesce((F.col("kind") == k).cast("double"), F.lit(0.0)) for k in EXTRA}
-    return df.withColumns(cols)
+    length = F.greatest(F.length(s), F.lit(1))
+    shape = [
+        F.length(s).cast("double"),
+        count("0-9") / length,
+        count("A-Z") / length,
+        count("a-z") / length,
+        count(r"\x20().-"),
+        F.size(F.array_distinct(F.split(s, ""))).cast("double"),
+        left.rlike("[A-Za-z0-9]$").cast("double"),
+        right.rlike("^[A-Za-z0-9]").cast("double"),
+    ]
+    return shape + [F.concat(left, F.lit(" "), s).rlike(p).cast("double") for p in CUES.values()] + [(c["kind"] == k).cast("double") for k in EXTRA]
 
 
 def labelled_spans(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -147,7 +173,9 @@ def labelled_spans(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
 @lru_cache(maxsize=4)
 def _model(spark: SparkSession, precision: float, seed: int):
     """The boosted trees and their threshold: the lowest score whose held-out precision reaches ``precision``."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_features(labelled_spans(spark))).select("id", "features", "label").coalesce(2)
+    made = labelled_spans(spark)
+    named = made.select("id", "label", *[f.alias(n) for f, n in zip(_features({c: F.col(c) for c in ("kind", "span", "left", "right")}), FEATURES)])
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(named).select("id", "features", "label").coalesce(2)
     held = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(4)) == 0
     model = GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, seed=seed).fit(rows.where(~held))
     scored = model.transform(rows.where(held)).select(vector_to_array("probability")[1].alias("p"), "label").collect()
@@ -161,71 +189,71 @@ def _model(spark: SparkSession, precision: float, seed: int):
     return model, threshold
 
 
-def pii_spans(docs: DataFrame, precision: float = 0.98, seed: int = 5) -> DataFrame:
-    """Selected spans: ``uid, doc_id, kind, start, end`` (a row of nulls for a document without any).
+def spans_of(spark: SparkSession, text: Column, precision: float = 0.98, seed: int = 5) -> Column:
+    """The selected spans of a text: structs ``start, end, kind`` by start, base spans first among equals."""
+    model, threshold = _model(spark, precision, seed)
+    # The model's probability is the logistic function of twice the trees' margin.
+    least = 0.5 * math.log(threshold / (1 - threshold)) if threshold < 1 else math.inf
+    valid = lambda all_: F.filter(all_, lambda c: F.coalesce(_valid(c["kind"], c["span"]), F.lit(False)))
 
-    ``uid`` tells rows apart that share a ``doc_id``.
-    """
-    return _spans(docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].alias("doc_id"), text_of(docs).alias("t")), precision, seed)
-
-
-def _spans(proposed: DataFrame, precision: float = 0.98, seed: int = 5) -> DataFrame:
-    """Selected spans of rows ``uid, doc_id, t``."""
-    text = F.col("t")
-    found = proposed.select("uid", "doc_id", F.explode_outer(F.flatten(F.array(*[_found(text, k) for k in GENERATORS]))).alias("c")).select("uid", "doc_id", "c.*")
-    before = Window.partitionBy("uid", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = found.withColumn("end", F.sum(F.col("gap") + F.length("span")).over(before)).withColumn("start", F.col("end") - F.length("span"))
-    valid = F.coalesce(_valid(F.col("kind"), F.col("span")), F.lit(False))
-    checked = placed.withColumns({c: F.when(valid, F.col(c)) for c in ("kind", "start", "end")}).withColumn("base", F.coalesce(F.col("kind").isin(*BASE), F.lit(False)))
-    model, threshold = _model(proposed.sparkSession, precision, seed)
-    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_features(checked))).withColumn("p", vector_to_array("probability")[1])
-    rated = scored.select("uid", "doc_id", "kind", "start", "end", "base", (F.col("base") | (F.col("p") >= threshold)).alias("chosen"))
-    # A proposal gives way to base spans and to chosen ones that begin earlier.
-    order = [F.col("start"), F.col("end").desc(), F.col("kind")]
-    past = Window.partitionBy("uid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("uid").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    free = (F.coalesce(F.max(F.when(F.col("chosen"), F.col("end"))).over(past), F.lit(0)) <= F.col("start")) & (F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(ahead), F.col("end")) >= F.col("end"))
-    kept = rated.withColumn("free", free)
-    use = F.coalesce(F.col("base") | (F.col("chosen") & F.col("free")), F.lit(False))
-    return kept.select("uid", "doc_id", *[F.when(use, F.col(c)).alias(c) for c in ("kind", "start", "end")])
+    def rated(c: Column) -> Column:
+        base = c["kind"].isin(*BASE)
+        chosen = base | let(F.array(*_features(c)), lambda x: margin(model, lambda i: F.get(x, F.lit(i))) >= F.lit(least) - 1e-12)
+        # Sorted by start, the longer first.
+        return F.struct(c["start"].alias("start"), (-c["end"]).alias("stop"), c["kind"].alias("kind"), base.alias("base"), chosen.alias("chosen"))
+
+    def settled(r: Column) -> Column:
+        """A proposal gives way to base spans and to chosen ones that begin earlier."""
+        ends = F.transform(r, lambda x: F.when(x["chosen"], -x["stop"]).otherwise(F.lit(0)))
+        past = running(ends, F.lit(0), lambda a, b: F.greatest(a, b))
+        starts = F.transform(F.reverse(r), lambda x: F.when(x["base"], x["start"]).otherwise(F.lit(2**31 - 1)))
+        ahead = F.reverse(running(starts, F.lit(2**31 - 1), lambda a, b: F.least(a, b)))
+        kept = let(past, lambda p: let(ahead, lambda q: F.transform(r, lambda x, i: F.struct((x["base"] | (x["chosen"] & (F.get(p, i) <= x["start"]) & (F.get(q, i) >= -x["stop"]))).alias("use"), x["start"].alias("start"), (-x["stop"]).alias("end"), x["kind"].alias("kind")))))
+        return F.transform(F.filter(kept, lambda x: x["use"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+
+    return let(_found(text), lambda f: let(valid(f), lambda v: F.when(F.size(v) == 0, F.array().cast("array<struct<start:int,end:int,kind:string>>")).otherwise(let(F.array_sort(F.transform(v, rated)), settled))))
+
+
+def pii_spans(docs: DataFrame, **options) -> DataFrame:
+    """Per document ``doc_id, spans``: the array of its selected spans (``start, end, kind``)."""
+    return docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("t")).select("doc_id", spans_of(docs.sparkSession, F.col("t"), **options).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
-    ordered = F.array_sort(spans)
-    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    """``kind:start:end`` by kind as listed, then start, comma-joined."""
+    of = lambda k: F.transform(F.array_sort(F.filter(spans, lambda x: x["kind"] == k)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return lambda kinds: F.array_join(F.flatten(F.array(*[of(k) for k in kinds])), ",")
 
 
 def pii_report(docs: DataFrame, **options) -> DataFrame:
     """Per document the numbers of base spans, the digest of the base spans and all spans."""
-    rank = F.lit(len(BASE) + len(EXTRA))
-    for i, k in reversed(list(enumerate(BASE + EXTRA))):
-        rank = F.when(F.col("kind") == k, F.lit(i)).otherwise(rank)
-    item = F.struct(rank.alias("rank"), "start", "end", "kind")
-    grouped = pii_spans(docs, **options).groupBy("uid", "doc_id").agg(F.collect_list(F.when(F.col("kind").isNotNull(), item)).alias("s"))
-    base = F.filter("s", lambda x: x["rank"] < len(BASE))
-    of_kind = lambda k: F.filter("s", lambda x: x["kind"] == k)
-    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return grouped.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"))
+    s = F.col("spans")
+    of = lambda k: F.filter(s, lambda x: x["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return pii_spans(docs, **options).select("doc_id", *counts, F.sha2(_joined(s)(BASE), 256).alias("base_sha256"), _joined(s)(BASE + EXTRA).alias("spans"))
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every selected span replaced by its kind in brackets; ``n_chars`` follows where there is one.
 
-    Overlapping spans are replaced as one, named by the one that begins first.
+    Overlapping spans are replaced as one, named by the one that begins first, the longest
+    one of those: a span counts as covered when it begins before the furthest end so far.
     """
     columns = docs.columns
-    body = numbered(docs, "pii-docs")
-    proposed = body.select(F.col("_uid").alias("uid"), F.col("_row")["doc_id"].alias("doc_id"), F.coalesce(F.col("_row")["text"].cast("string"), F.lit("")).alias("t"))
-    spans = _spans(proposed, **options).where("kind IS NOT NULL").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("s"))
-    joined = body.join(spans, F.col("_uid") == F.col("uid"), "left")
-    text = F.col("_row")["text"]
+    body = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), docs["text"].cast("string").alias("_t"))
+    body = body.withColumn("_s", spans_of(docs.sparkSession, F.coalesce("_t", F.lit("")), **options))
+    text = F.col("_t")
 
     def rebuilt(s: Column) -> Column:
-        reach = F.transform(s, lambda x, i: F.coalesce(F.array_max(F.transform(F.slice(s, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda y: y["end"])), F.lit(0)))
-        parts = F.zip_with(s, reach, lambda x, e: F.when(x["start"] >= e, F.concat(F.substring(text, e.cast("int") + 1, (x["start"] - e).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit("")))
-        last = F.array_max(F.transform(s, lambda x: x["end"]))
-        return F.concat(F.array_join(parts, ""), F.substring(text, last.cast("int") + 1, F.length(text)))
+        ordered = F.array_sort(F.transform(s, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("stop"), x["kind"].alias("kind"))))
+
+        def joined(o: Column) -> Column:
+            reach = running(F.transform(o, lambda x: -x["stop"]), F.lit(0), lambda a, b: F.greatest(a, b))
+            parts = F.zip_with(o, reach, lambda x, e: F.when(x["start"] >= e, F.concat(F.substring(text, e + 1, x["start"] - e), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit("")))
+            last = F.array_max(F.transform(o, lambda x: -x["stop"]))
+            return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
+
+        return let(ordered, joined)
 
-    new = F.when(F.col("s").isNull(), text).otherwise(rebuilt(F.col("s")))
-    out = joined.select("_row", new.alias("_new"))
+    out = body.select("_row", F.when(F.size("_s") == 0, text).otherwise(rebuilt(F.col("_s"))).alias("_new"))
     return out.select(*[F.col("_new").alias(c) if c == "text" else F.coalesce(F.length("_new"), F.lit(0)).cast("long").alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in columns])

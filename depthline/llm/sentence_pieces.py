@@ -11,7 +11,9 @@ none is left.  Characters without a piece fall back to bytes.
 
 Ids equal the library's.  Defined results: a null text counts as empty and has no ids;
 text holding the space mark itself (U+2581) decodes to spaces, as in the library; every
-other text decodes to itself.  Only ``doc_id`` and ``text`` are read.
+other text decodes to itself; repeated rows each get their ids; an empty table gives an
+empty table; long texts are cut into units like any other.  Only ``doc_id`` and ``text`` are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -50,6 +52,7 @@ class PieceMatcher:
                 self.byte_ids[int(names[i][3:5], 16)] = i
         self.alphabet = {c: k + 1 for k, c in enumerate(sorted({c for i in plain for c in names[i]}))}
         self.width = max(len(names[i]) for i in plain)
+        self.step = self.width + 2
         self.single = {names[i]: i for i in plain if len(names[i]) == 1}
         self.pieces = np.array(plain, np.int64)
         self.lengths = np.array([len(names[i]) for i in plain], np.int64)
@@ -77,7 +80,7 @@ class PieceMatcher:
         return np.ascontiguousarray(codes).view(f"S{2 * codes.shape[1]}").ravel()
 
     def edges(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted edge keys ``position * 64 + length``, their ranks, unit starts and unit lengths."""
+        """Sorted edge keys ``position * step + length``, their ranks, unit starts and unit lengths."""
         chars = "\0".join(units) + "\0"
         points = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), "<u4")
         distinct, inverse = np.unique(points, return_inverse=True)
@@ -96,17 +99,16 @@ class PieceMatcher:
         n = n[hit]
         within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         at = begin[index[np.repeat(lo[hit], n) + within]]
-        keys = at * 64 + np.repeat(self.lengths[hit], n)
+        keys = at * self.step + np.repeat(self.lengths[hit], n)
         order = np.argsort(keys)
         return keys[order], np.repeat(self.rank[self.pieces[hit]], n)[order], starts, sizes
 
-    @staticmethod
-    def _find(keys: np.ndarray, ranks: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    def _find(self, keys: np.ndarray, ranks: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         length = stop - start
-        want = start * 64 + np.minimum(length, 63)
+        want = start * self.step + np.minimum(length, self.width + 1)
         k = np.searchsorted(keys, want)
         k[k == len(keys)] = 0
-        good = (keys[k] == want) & (length < 63) if len(keys) else np.zeros(len(want), bool)
+        good = (keys[k] == want) & (length <= self.width) if len(keys) else np.zeros(len(want), bool)
         return np.where(good, ranks[k] if len(keys) else 0, _NONE)
 
     def _relax(self, keys, ranks, starts, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +155,7 @@ class PieceMatcher:
 
     def _relax_long(self, keys, ranks, start: int, size: int) -> list[tuple[int, int]]:
         """The same for one long unit, with a heap over its adjacent symbols."""
-        lo, hi = np.searchsorted(keys, [start * 64, (start + size) * 64])
+        lo, hi = np.searchsorted(keys, [start * self.step, (start + size) * self.step])
         table = dict(zip(keys[lo:hi].tolist(), ranks[lo:hi].tolist()))
         stop = list(range(start + 1, start + size + 1))
         before, alive = list(range(-1, size - 1)), [True] * size
@@ -163,7 +165,7 @@ class PieceMatcher:
             j = stop[i] - start
             if j < size:
                 length = stop[j] - (start + i)
-                r = table.get((start + i) * 64 + length) if length < 63 else None
+                r = table.get((start + i) * self.step + length) if length <= self.width else None
                 if r is not None:
                     heapq.heappush(heap, (r, i, stop[i], stop[j]))
 
