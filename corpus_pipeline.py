@@ -2,8 +2,15 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each
 result to the shared folder as Parquet and reads it back for the next stage, so a lost
-executor never costs more than the stage at hand.  All but the last stage return the
-columns of ``documents``.
+executor never costs more than the stage at hand.  A stage's intermediate tables go when
+its result is written, and its input when the next stage has read it.  All but the last
+stage return the columns of ``documents``.
+
+Defined results, for every stage: null texts count as empty (quality rules reject them);
+nulls in other columns are kept as they are, null sources being one source; repeated rows
+are documents of their own until near-duplicate removal keeps one; other columns of
+``documents``, whatever their names, come along up to the last stage; an empty table
+gives an empty table; texts are handled whole, however long.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from depthline.llm import mixing, order_minhash, pii, quality_rules, sentence_pieces
-from depthline.llm.common import stored
+from depthline.llm.common import Scratch, stored
 from depthline.llm.queries import tokenizer_path
 
 
@@ -48,6 +55,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    before = Scratch(spark)
+    for name, stage in STAGES[:-1]:
+        after = Scratch(spark)
+        with Scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", after)
+        before.close()
+        before = after
+    name, stage = STAGES[-1]
+    with Scratch(spark) as scratch:
+        docs = scratch.result(stage(spark, docs, sf_dir), f"stage-{name}")
+    before.close()
     return docs
