@@ -10,36 +10,38 @@ checksums of its coded words and of its ids, which the reader verifies.
 
 The files are rows of a Parquet table ``blocks`` (one binary block a row, with the
 documents it holds) beside a table ``frequencies``; Spark's commit protocol makes
-them survive lost executors.  Only the frequency table (a row for each id of the
-vocabulary) goes through the driver.
+them survive lost executors.  Ids are counted while they are packed: each task's counts
+stand in its first row and are summed in Spark.  Only the frequency table (a row for each
+id of the vocabulary) goes through the driver.
 
 Block layout, little-endian: ``b"RANB"``, u32 version, u32 segments, then per segment
 u32 byte offset and u32 first token; then segments: u32 ids, u32 lanes, u32 words,
 u32 crc32 of the words, u32 crc32 of the ids as u32, lane states u64, words u32.
 
 Defined results: a null text counts as empty and yields the end id alone; ids of null
-sort first; equal ids are ordered by text; an empty table gives empty files; other
-columns are ignored.
+sort first; rows with equal ids are ordered by text, and each is a document of its own;
+an empty table gives empty files; a block holds whole documents, so a very long text makes
+a long block of more segments; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depthline.llm.common import shared_dir, stored, text_of
+from depthline.llm.common import Scratch, scratch_path, stored, text_of
 
 SCALE_BITS = 18
-LANES = 256
-SEGMENT = 1 << 16
+LANES = 1024
+SEGMENT = 1 << 18
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sII")
 _PART = struct.Struct("<IIIII")
@@ -75,18 +77,21 @@ class FrequencyTable:
 def encode_segment(ids: np.ndarray, table: FrequencyTable, lanes: int = LANES) -> bytes:
     n = len(ids)
     lanes = max(1, min(lanes, n))
-    scale, shift = np.uint64(SCALE_BITS), np.uint64(63 - SCALE_BITS)
+    # (q << SCALE_BITS) + (y - q f) + base is y + q (2**SCALE_BITS - f) + base.
+    full_scale, shift = np.uint64(1 << SCALE_BITS), np.uint64(63 - SCALE_BITS)
     x, chunks = np.full(lanes, LOW, np.uint64), []
     freq, base = table.freq[ids], table.base[ids]
+    limit, word = freq << shift, np.uint64(32)
     for at in range((n - 1) // lanes * lanes, -1, -lanes):
-        f, b = freq[at : at + lanes], base[at : at + lanes]
+        f = freq[at : at + lanes]
         y = x[: len(f)]
-        full = y >= (f << shift)
-        if full.any():
-            chunks.append(y[full].astype(np.uint32))
-            y = np.where(full, y >> np.uint64(32), y)
+        full = np.flatnonzero(y >= limit[at : at + lanes])
+        if len(full):
+            high = y[full]
+            chunks.append(high.astype(np.uint32))
+            y[full] = high >> word
         q = y // f
-        x[: len(f)] = (q << scale) + (y - q * f) + b
+        y += q * (full_scale - f) + base[at : at + lanes]
     words = np.concatenate(chunks[::-1]) if chunks else np.zeros(0, np.uint32)
     body = words.astype("<u4").tobytes()
     return _PART.pack(n, lanes, len(words), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + x.astype("<u8").tobytes() + body
@@ -151,15 +156,15 @@ TAIL = ".,!?;:#*$%&|"
 class WordEncoder:
     """Encodes texts with the tokenizers library, each word once.
 
-    The vocabulary's own pre-tokenizer never joins over white space, nor a letter with
-    a closing mark after it, and lower-cases; so a text's ids are those of its words,
-    and a word's those of its core and tail.  Words not seen before go to the library,
-    cores of letters alone many at a time: each ends with a word-end id, which gives
-    the bounds (where the count differs, the words go one by one).  ``limit`` bounds the
-    memory of the look-ups, not what is encoded.
+    The vocabulary's own pre-tokenizer never joins over white space, nor a letter with a
+    closing mark after it, and lower-cases; so a text's ids are those of its words, taken
+    in lower case, and a word's those of its core and the marks that close it.  Words not seen before go to
+    the library, words of letters alone many at a time: each ends with a word-end id,
+    which gives the bounds (where the count differs, the words go one by one).  ``limit``
+    bounds the memory of the look-up, not what is encoded.
     """
 
-    def __init__(self, path: str, dtype: str, limit: int = 900_000):
+    def __init__(self, path: str, dtype: str, limit: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,7 +172,6 @@ class WordEncoder:
 
         self.tokenizer, self.code, self.limit = Tokenizer.from_file(path), "H" if dtype == "<u2" else "I", limit
         self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -175,7 +179,7 @@ class WordEncoder:
     def _single(self, parts: list[str]) -> None:
         for i in range(0, len(parts), 10_000):
             for w, e in zip(parts[i : i + 10_000], self.tokenizer.encode_batch_fast(parts[i : i + 10_000], add_special_tokens=False)):
-                self.cores[w] = array(self.code, e.ids).tobytes()
+                self.words[w] = array(self.code, e.ids).tobytes()
 
     def _many(self, parts: list[str]) -> None:
         for i in range(0, len(parts), 2_000):
@@ -185,40 +189,46 @@ class WordEncoder:
             if len(stops) != len(part) or stops[-1] != len(ids):
                 self._single(part)
                 continue
-            data, w, last = ids.tobytes(), ids.itemsize, 0
-            for word, stop in zip(part, (stops * w).tolist()):
-                self.cores[word] = data[last:stop]
-                last = stop
-
-    def _learn(self, words: list[str]) -> None:
-        plan, seen = [], self.cores
-        if len(seen) > self.limit:
-            seen = self.cores = {"": b""}
-        many, single = set(), set()
-        for w in words:
+            data, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
+            self.words.update(zip(part, map(data.__getitem__, map(slice, [0, *stops], stops))))
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        # Special tokens are found by their exact letters; combining marks (two lead bytes) may
+        # compose with a lower-case letter alone, so such texts keep their case.
+        if text.isascii():
+            text = text if "<|" in text else text.lower()
+        elif "<|" not in text:
+            raw = text.encode("utf-8", "surrogatepass")
+            if b"\xcc" not in raw and b"\xcd" not in raw:
+                text = raw.lower().decode("utf-8", "surrogatepass")
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
+
+    def _learn(self, new: set[str]) -> None:
+        known, parts, closed = self.words, set(), []
+        for w in new:
             core = w.rstrip(TAIL)
-            tail = w[len(core) :]
-            if tail and not (core and core[-1].isalpha() and len(core[-1].lower()) == 1):
-                core, tail = w, ""
-            if core and "A" <= core[0] <= "Z":
-                core = core[0].lower() + core[1:]
-            plan.append((w, core, tail))
-            if core not in seen:
-                (many if core.isalpha() and len(core.lower()) == len(core) else single).add(core)
-            if tail and tail not in seen:
-                single.add(tail)
-        self._many(list(many))
-        self._single(list(single))
-        get = self.cores.__getitem__
-        for w, core, tail in plan:
-            self.words[w] = get(core) + get(tail) if tail else get(core)
+            if len(core) < len(w) and core and core[-1].isalpha() and len(core[-1].lower()) == 1:
+                closed.append((w, core, w[len(core) :]))
+                parts.add(core)
+                parts.add(w[len(core) :])
+            else:
+                parts.add(w)
+        parts = parts.difference(known)
+        # Words of letters alone give one part each.
+        letters = [w for w in parts if w.isalpha()]
+        self._many(letters)
+        if len(letters) < len(parts):
+            self._single([w for w in parts if not w.isalpha()])
+        get = known.__getitem__
+        known.update((w, get(core) + get(tail)) for w, core, tail in closed)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
-        if len(self.words) > self.limit // 3:
+        split = [self._split(t) for t in texts]
+        if len(self.words) > self.limit:
             self.words = {"": b""}
         known = self.words
-        new = list({w for words in split for w in words if w not in known})
+        new = set().union(*split).difference(known)
         if new:
             self._learn(new)
         get = known.__getitem__
@@ -235,68 +245,68 @@ def _encoder(path: str, dtype: str) -> WordEncoder:
     return _ENCODERS[path, dtype]
 
 
-_BLOCKS = "shard int, block int, at long, doc_ids array<long>, lengths array<int>, total long, ids binary"
+_PLACES = "shard int, block int, at long, doc_ids array<long>, lengths array<int>, total long"
 
 
-def _pack(path: str, dtype: str, end_id: int, block_ids: int):
+def _pack(path: str, dtype: str, end_id: int, block_ids: int, size: int):
+    """Blocks of ids of a task's documents and, at its last block, how often the task has each id."""
+
     def run(batches):
         encoder, end = _encoder(path, dtype), np.array([end_id], dtype).tobytes()
         shard, block, at = TaskContext.get().partitionId(), 0, 0
-        width = len(end)
+        width, counts = len(end), np.zeros(size, np.int64)
         doc_ids, lengths, parts, total = [], [], [], 0
 
-        def flush():
-            row = {"shard": [shard], "block": [block], "at": [at], "doc_ids": [list(doc_ids)], "lengths": [list(lengths)], "total": [total], "ids": [b"".join(parts)]}
-            return pd.DataFrame(row)
+        def row(last: bool):
+            data = b"".join(parts)
+            np.add(counts, np.bincount(np.frombuffer(data, dtype), minlength=size), out=counts)
+            used = np.flatnonzero(counts) if last else np.zeros(0, np.int64)
+            made = {"shard": [shard], "block": [block], "at": [at], "doc_ids": [doc_ids], "lengths": [lengths], "total": [total], "ids": [data], "used": [used], "counts": [counts[used]]}
+            return pd.DataFrame(made)
 
         for batch in batches:
-            texts = batch["t"].tolist()
-            ids = batch["doc_id"].tolist()
+            # A row goes on only when a next one comes, so the last one is known.
+            texts, ids = batch["t"].tolist(), batch["doc_id"].astype("Int64").tolist()
             for lo in range(0, len(texts), 256):
                 for doc_id, coded in zip(ids[lo : lo + 256], encoder.encode(texts[lo : lo + 256])):
-                    doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                    lengths.append(len(coded) // width + 1)
-                    parts += [coded, end]
-                    total += lengths[-1]
                     if total >= block_ids:
-                        yield flush()
+                        yield row(False)
                         block, at = block + 1, at + total
                         doc_ids, lengths, parts, total = [], [], [], 0
+                    doc_ids.append(None if doc_id is pd.NA else doc_id)
+                    lengths.append(len(coded) // width + 1)
+                    parts += (coded, end)
+                    total += lengths[-1]
         if doc_ids:
-            yield flush()
+            yield row(True)
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, vocab_size: int | None = None, block_ids: int = 4 * SEGMENT) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, vocab_size: int | None = None, block_ids: int = 2 * SEGMENT) -> None:
     """Encode every text of ``docs``, append ``end_id`` to each and write the files under ``path``."""
     from tokenizers import Tokenizer
 
     size = max(vocab_size or Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     spark = docs.sparkSession
-    ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
-    blocks = stored(ordered.mapInPandas(_pack(tokenizer_path, dtype, end_id, block_ids), _BLOCKS), "token-ids")
-
-    def count(batches):
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            for ids in batch["ids"]:
-                counts += np.bincount(np.frombuffer(ids, dtype), minlength=size)
-        used = np.flatnonzero(counts)
-        yield pd.DataFrame({"id": used, "n": counts[used]})
-
-    counts = blocks.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
-    ids, freqs = counts["id"].to_numpy(np.int64), FrequencyTable.scaled(counts["n"].to_numpy(np.int64)) if len(counts) else np.zeros(0, np.int64)
-    spark.createDataFrame(pd.DataFrame({"id": ids, "frequency": freqs, "size": np.full(len(ids), size)}), "id long, frequency long, size long").coalesce(1).write.parquet(f"{path}/frequencies")
-    table = FrequencyTable(ids, freqs, size)
+    with Scratch(spark):
+        ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
+        blocks = stored(ordered.mapInPandas(_pack(tokenizer_path, dtype, end_id, block_ids, size), f"{_PLACES}, ids binary, used array<int>, counts array<long>"), "token-ids")
+        counts = blocks.select(F.inline(F.arrays_zip("used", "counts"))).groupBy(F.col("used").alias("id")).agg(F.sum("counts").alias("n")).orderBy("id").toPandas()
+        ids, freqs = counts["id"].to_numpy(np.int64), FrequencyTable.scaled(counts["n"].to_numpy(np.int64)) if len(counts) else np.zeros(0, np.int64)
+        spark.createDataFrame(pd.DataFrame({"id": ids, "frequency": freqs, "size": np.full(len(ids), size)}), "id long, frequency long, size long").coalesce(1).write.parquet(f"{path}/frequencies")
+        table = FrequencyTable(ids, freqs, size)
 
-    def code(batches):
-        for batch in batches:
-            batch["ids"] = [encode_block(np.frombuffer(x, dtype).astype(np.int64), table) for x in batch["ids"]]
-            yield batch.rename(columns={"ids": "data"})
+        def code(batches):
+            for batch in batches:
+                # A block at a time, so that no more than one coded block waits to be written.
+                for i, ids in enumerate(batch.column("ids")):
+                    data = encode_block(np.frombuffer(ids.as_buffer(), dtype), table)
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:-1], pa.array([data], pa.binary())], names=[*batch.schema.names[:-1], "data"])
 
-    blocks.mapInPandas(code, _BLOCKS.replace("ids binary", "data binary")).write.parquet(f"{path}/blocks")
+        places = [f.split()[0] for f in _PLACES.split(", ")]
+        blocks.select(*places, "ids").mapInArrow(code, f"{_PLACES}, data binary").write.parquet(f"{path}/blocks")
 
 
 def _read(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
@@ -345,6 +355,6 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def token_report(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write the files to the shared folder and read the digests back."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer_path, end_id)
     return token_digests(docs.sparkSession, path)
