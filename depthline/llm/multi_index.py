@@ -1,7 +1,7 @@
 """Embedding near-duplicates by an inverted multi-index.
 
-Vectors are cut into halves, each half has its own codebook (k-means on a sample of at
-most ``SAMPLE`` vectors), and the pair of nearest codewords is a vector's cell of the
+Vectors are cut into halves, each half has its own codebook (k-means on a sample of
+``SAMPLE`` vectors, more for finer grids and ``MOST_SAMPLED`` at most), and the pair of nearest codewords is a vector's cell of the
 product grid.  Every vector is posted in its cell and, as a query, visits the cells
 nearest to it in multi-sequence order (by the sum of both halves' distances).  How
 many is calibrated: sampled vectors are moved to exactly the threshold's cosine, and
@@ -14,7 +14,9 @@ task holds a whole cell; tasks return sums of links and a spanning forest, not p
 
 Defined results: vectors that are null, zero or hold null or non-finite components,
 and vectors without a label, link with nothing; repeated rows are separate vectors; an
-empty table gives an empty table; vectors of unequal length never link.
+empty table gives an empty table; vectors of unequal length never link; components keep the
+precision of the input.  Only ``vec_id``, ``embedding`` and ``label`` are read, so other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthline.llm.common import stored
+from depthline.llm.common import Scratch, stored
 from depthline.llm.components import components
 
-SAMPLE = 4096
+SAMPLE, MOST_SAMPLED = 4096, 65_536
+#: Cells that calibration looks at; a grid that needs more is made coarser.
+MOST_VISITS = 4096
 BLOCK, QUERIES = 2048, 8192
 PER_CELL = 96
 
@@ -79,15 +83,21 @@ class MultiIndex:
         cells = np.take_along_axis(oa, r[order], 1) * kb + np.take_along_axis(ob, s[order], 1)
         return cells
 
-    def calibrate(self, x: np.ndarray, cosine: float, recall: float, rng: np.random.Generator) -> None:
+    def calibrate(self, x: np.ndarray, cosine: float, recall: float, rng: np.random.Generator) -> bool:
+        """Set the visits; False where ``recall`` would take more than ``MOST_VISITS``."""
         noise = rng.normal(size=x.shape)
         noise -= (noise * x).sum(1, keepdims=True) * x
         noise /= np.linalg.norm(noise, axis=1, keepdims=True)
         moved = cosine * x + math.sqrt(1 - cosine**2) * noise
-        total = len(self.first) * len(self.second)
-        there, back = self.traverse(x, total), self.traverse(moved, total)
-        rank = np.minimum((there == back[:, :1]).argmax(1), (back == there[:, :1]).argmax(1))
-        self.visits = min(total, int(np.quantile(rank, recall, method="higher")) + 1)
+        limit = min(len(self.first) * len(self.second), MOST_VISITS)
+        ranks = []
+        for lo in range(0, len(x), 64):
+            there, back = self.traverse(x[lo : lo + 64], limit), self.traverse(moved[lo : lo + 64], limit)
+            place = lambda cells, own: np.where((cells == own).any(1), (cells == own).argmax(1), limit)
+            ranks.append(np.minimum(place(there, back[:, :1]), place(back, there[:, :1])))
+        need = int(np.quantile(np.concatenate(ranks), recall, method="higher"))
+        self.visits = min(limit, need + 1)
+        return need < limit
 
 
 def _is_valid():
@@ -98,14 +108,17 @@ def _is_valid():
 def build_index(entries: DataFrame, labels: int, cosine: float, recall: float, seed: int = 3) -> MultiIndex:
     """Codebooks and visits from at most ``SAMPLE`` entries; the grid's size follows the number of entries."""
     n = entries.count()
-    sample = entries.orderBy(F.xxhash64("id")).limit(SAMPLE).select("embedding").collect()
+    want = max(1, round(math.sqrt(n / (max(labels, 1) * PER_CELL))))
+    sample = entries.orderBy(F.xxhash64("id")).limit(min(max(SAMPLE, 16 * want), MOST_SAMPLED)).select("embedding").collect()
     rng = np.random.default_rng(seed)
     x = unit([r["embedding"] for r in sample])
-    k = int(np.clip(round(math.sqrt(n / (max(labels, 1) * PER_CELL))), 1, max(1, len(x) // 8)))
+    k = min(want, max(1, len(x) // 8))
     h = max(1, x.shape[1] // 2)
-    index = MultiIndex(codebook(x[:, :h], k, rng), codebook(x[:, h:], k, rng) if x.shape[1] > h else np.zeros((1, 0)))
-    index.calibrate(x[:1024], cosine, recall, rng)
-    return index
+    while True:
+        index = MultiIndex(codebook(x[:, :h], k, rng), codebook(x[:, h:], k, rng) if x.shape[1] > h else np.zeros((1, 0)))
+        if index.calibrate(x[:1024], cosine, recall, rng) or k == 1:
+            return index
+        k //= 2
 
 
 def _match(cosine: float):
@@ -117,12 +130,10 @@ def _match(cosine: float):
         if not len(postings) or not len(queries):
             return empty
         p, ids, n = unit(postings["embedding"]), postings["id"].to_numpy(), postings["n"].to_numpy()
-        cell = int(postings["cell"].iloc[0])
-        visits = [np.asarray(v) for v in postings["visits"]]
-        wide = int(max(max((v.max() for v in visits)), cell, int(queries["own"].max()))) + 1
-        seen = np.zeros((wide, len(p)), bool)
-        for j, v in enumerate(visits):
-            seen[v, j] = True
+        visits = np.stack(postings["visits"].to_numpy()).astype(np.int64)
+        wide = max(int(visits.max()), int(queries["own"].max())) + 1
+        # What a posting visits, as sorted (posting, cell) keys.
+        seen = np.sort((np.arange(len(p))[:, None] * wide + visits).ravel())
         back = np.zeros(len(p), np.int64)
         label = ids.copy()
         rows, pairs = [], []
@@ -136,7 +147,11 @@ def _match(cosine: float):
             hit, qid, qn, own = hit[any_hit], qid[any_hit], qn[any_hit], own[any_hit]
             rows.append((qid, hit @ n))
             # The posting finds the query itself where it visits the query's cell.
-            back += ((hit & ~seen[own]) * qn[:, None]).sum(0)
+            i, j = np.nonzero(hit)
+            asked = j * wide + own[i]
+            at = np.minimum(np.searchsorted(seen, asked), len(seen) - 1)
+            new = seen[at] != asked
+            back += np.bincount(j[new], weights=qn[i[new]], minlength=len(p)).astype(np.int64)
             pairs.append((qid, hit))
         if not pairs:
             return empty
@@ -158,7 +173,14 @@ def _match(cosine: float):
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.995, seed: int = 3) -> DataFrame:
     """Per vector ``vec_id, n_links, component_id, kept``."""
-    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding"), vectors["label"].cast("string").alias("label"))
+    with Scratch(vectors.sparkSession) as scratch:
+        return scratch.result(_near_duplicates(vectors, cosine, recall, seed), "vector-classes")
+
+
+def _near_duplicates(vectors: DataFrame, cosine: float, recall: float, seed: int) -> DataFrame:
+    kind = dict(vectors.dtypes)["embedding"]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast(kind).alias("embedding"), vectors["label"].cast("string").alias("label"))
     good = rows.where(F.coalesce(_is_valid(), F.lit(False))).withColumn("key", F.xxhash64("label", "embedding"))
     entries = stored(good.groupBy("key", "label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()).withColumn("width", F.size("embedding")), "vectors")
     labels = entries.select("label").distinct().count()
@@ -176,7 +198,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, recall: flo
                     batch["visits"] = list(index.traverse(unit(batch["embedding"]), index.visits).astype(np.int32))
                     yield batch
 
-        posted = stored(part.select("id", "n", "label", "embedding").mapInPandas(post, "id long, n long, label string, embedding array<float>, visits array<int>"), "posted")
+        posted = stored(part.select("id", "n", "label", "embedding").mapInPandas(post, f"id long, n long, label string, embedding {kind}, visits array<int>"), "posted")
         postings = posted.withColumn("cell", F.col("visits")[0])
         asked = posted.select("label", F.explode("visits").alias("cell"), "id")
         load = postings.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ps")).join(asked.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qs")), ["label", "cell"])
@@ -193,7 +215,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, recall: flo
     placed = entries.join(joined, entries["id"] == joined["node"], "left").select("key", "label", "embedding", "first", "n", "id", F.coalesce("component", "id").alias("component"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     entry = placed.join(least, "component").join(links, "id", "left").select("key", F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    entry = stored(entry, "vector-classes")
+    entry = stored(entry, "vector-entries")
     mine = good.join(entry, (good["key"] == entry["key"]) & (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e"))).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(_is_valid(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return mine.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

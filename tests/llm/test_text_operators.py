@@ -1,8 +1,11 @@
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -54,6 +57,78 @@ def test_pii_spans_and_redaction(spark):
     assert clean[2]["text"] == "mail [EMAIL], [IP] and 999.1.1.1" and clean[0]["text"] is None and clean[2]["n_chars"] == len(clean[2]["text"]) and clean[2].asDict().keys() == set(d.columns)
 
 
+# The base patterns of the contract.
+BASE_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    def fits(kind, m):
+        digits = [int(c) for c in m if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            doubled = [v if i % 2 == 0 else (2 * v - 9 if v > 4 else 2 * v) for i, v in enumerate(reversed(digits))]
+            return 16 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+        return kind != "phone" or 8 <= len(digits) <= 15
+
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE_KINDS.items() for m in re.finditer(p, text, re.A) if fits(k, m[0])]
+
+
+def test_pii_base_spans_match_the_patterns_on_random_texts(spark):
+    rng = random.Random(12)
+    bits = ["a.b@c.de", "@", "x@y", ".", "10.0.0.1", "256.1.1.1", "1.2.3.4.5.6.7.8", "+1 (555) 123-4567", "+49", "4111 1111 1111 1111", "4111111111111112", "12-34", " ", " ", "-", "ü", "7", "(", "b", "\n"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(400)] + ["1.1.1.1 " * 3000]
+    got = {r["doc_id"]: r for r in pii.pii_report(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in BASE_KINDS] == [sum(w.startswith(k + ":") for w in want) for k in BASE_KINDS]
+
+
+def test_redaction_hides_an_address_that_holds_many_spans(spark):
+    inner = "-alice-".join(f"10.0.0.{i}" for i in range(1, 15))
+    texts = [f"from {inner}@host.example.org to you", None, ""]
+    d = docs(spark, texts)
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(d.unionByName(d)).collect()}
+    assert clean == {0: "from [EMAIL] to you", 1: None, 2: ""} and pii.redact(d.unionByName(d)).count() == 6
+
+
+def test_mix_writes_what_the_report_counts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(["w"] * rng.randint(0, 60)) for _ in range(500)]
+    rows = [(i % 450 if i % 11 else None, t, ("a", "b", "c", None)[min(i // 100, 3)], i) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, size long").withColumnRenamed("size", "shard")
+    report = mixing.mix_report(d, shards=7).collect()
+    out = mixing.mix(d, shards=7).collect()
+    assert len(report) == 500 and d.columns == list(out[0].asDict())
+    drawn = Counter(r["shard"] for r in out)
+    taken = sorted(((r["doc_id"], r["size"], len(r["shards"])) for r in report if r["taken"]), key=repr)
+    held = sorted(((r[0], len((r[1] or "").split()), drawn[r[3]]) for r in rows if drawn[r[3]] and (r[1] or "").split()), key=repr)
+    assert taken == held and all(r["taken"] == r["size"] * len(r["shards"]) <= 3 * r["size"] for r in report)
+    plan = mixing.plan_mix(mixing.document_sizes(d, 17), shards=7)
+    # Shards' runs are disjoint and cover each source's quota.
+    assert all(p["ends"] == sorted(p["ends"]) and p["ends"][-1] == p["passes"] * p["blocks"] + p["edge"] + 1 for p in plan)
+
+
+def test_repeated_rows_at_the_cut_come_near_the_target(spark):
+    rows = [(7, "one two three", "hot")] * 900 + [(i, "a b c d", "other") for i in range(900)]
+    report = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string"), weight_cycle=(1.0, 5.0)).collect()
+    hot = [r for r in report if r["size"] == 3]
+    assert len(hot) == 900 and abs(sum(r["taken"] for r in hot) - hot[0]["target"]) <= 0.15 * hot[0]["target"]
+
+
+def test_no_table_is_left_by_operators(spark, tmp_path):
+    from depthline.llm.common import Scratch, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(os.listdir(folder)) if folder.exists() else set()
+    d = docs(spark, [*ODD, *BASE, near(BASE[0], 2, 1)])
+    with Scratch(spark):
+        assert order_minhash.deduplicate(d).count() and mixing.mix(d).count() and quality_rules.cascade(d).count() >= 0
+        assert token_blocks.token_report(d, tokenizer_path("word_bpe_49k.json")).count() == d.count()
+    assert set(os.listdir(folder)) == before
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(2)
     texts = [" ".join(["w"] * rng.randint(1, 40)) for _ in range(600)] + [None, ""]
@@ -202,6 +277,25 @@ def test_damaged_segment_is_noticed():
         token_blocks.decode_block(block[:-9] + b"\1" + block[-8:], table)
 
 
+def test_tokens_of_hostile_texts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(4)
+    bits = [*"aAbBzZéÉüİıßςΣσJj\u030c\u0307\u0301K. ,,!!..#'’<|>0129 \n\t日本 \u0085\u00a0\x1c_-", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'S", "ing", "THE", "word."]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(4000)] + ["word " * 90_000]
+    encoder, library = token_blocks.WordEncoder(path, "<u2", limit=500), Tokenizer.from_file(path)
+    for i in range(0, len(texts), 50):
+        part = texts[i : i + 50]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+
+
+def test_tokens_of_repeated_and_null_ids(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    rows = [(3, "b a", 1), (3, "a", 2), (None, None, 3), (3, "a", 4), (-1, "x y", 5)]
+    got = token_blocks.token_report(spark.createDataFrame(rows, "doc_id long, text string, ids int"), path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, -1, 3, 3, 3] and [r["n_tokens"] for r in got] == [1, 3, 2, 2, 3] and [r["start"] for r in got] == [0, 1, 4, 6, 8]
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
@@ -231,6 +325,49 @@ def test_main_text_of_pages_that_come_twice(spark):
     assert [got[k] for k in range(10)] == [f"{'plain story words ' * 9}{k // 2}" for k in range(10)]
 
 
+def test_main_text_by_template_alone(spark):
+    # No article element and no telling name: the main slot follows from where text varies, and constant text goes.
+    def page(i):
+        body = " ".join(RNG.choices(WORDS, k=80))
+        return body, f"<html><body><div class=x1><a href=1>{i} home</a><a href=2>more</a></div><div class=x2><p>Our house has stood here since 1900</p><div class=x3><p>{body}</p><p>Read us daily</p></div></div><div class=x4>All rights {i}</div></body></html>"
+
+    made = [page(i) for i in range(8)]
+    table = spark.createDataFrame([(i, f"http://plain.example/{i}", p, 1, "h") for i, (_, p) in enumerate(made)], "page_id long, url string, html string, main int, host string")
+    got = {r["page_id"]: r["text"] for r in template_text.main_texts(table).collect()}
+    assert got == {i: body for i, (body, _) in enumerate(made)}
+    assert all(template_text.extract(p, None) != body for body, p in made)
+
+
+def test_main_text_keeps_names_that_only_hold_a_listed_word(spark):
+    inside = "".join(f"<div {mark}>kept {i}</div>" for i, mark in enumerate(("class=social-history", "class='author-ad-free'", "id=comments-on-war")))
+    gone = "".join(f"<div {mark}>gone</div>" for mark in ("class=ad", "class='ad-box'", "id=comments", "class='share-buttons'", "class='site-footer'", "class='comment-list wide'"))
+    long = "tail " * 60_000
+    rows = [(0, "http://n.org/1", f"<html><body><article>{inside}{gone}end</article></body></html>"), (1, "http://n.org/2", f"<html><body><article>{long}</article></body></html>")]
+    got = {r["page_id"]: r["text"] for r in template_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "kept 0 kept 1 kept 2 end", 1: long.strip()}
+    assert template_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_url_trees_on_held_out_urls(spark):
+    from depthline.llm.trees import importances
+
+    pages = spark.createDataFrame([(i, f"https://www.site{i}.example.org/en/{i}") for i in range(50)], "page_id long, url string")
+    model, tables = url_filter.train(url_filter.labelled_urls(pages))
+    held = url_filter.generated_urls(spark, 2000, seed=99)
+    rows = url_filter.scored(held, model, tables).select("label", "f_hyphens", "blocked").collect()
+    for label in (0.0, 1.0):
+        for hyphen in (False, True):
+            part = [r["blocked"] == (label == 1.0) for r in rows if r["label"] == label and (r["f_hyphens"] > 0) == hyphen]
+            assert len(part) > 100 and sum(part) / len(part) > 0.9
+    used = importances(model, url_filter.FEATURES)
+    assert sum(v > 0.005 for v in used.values()) >= 5 and used["f_hyphens"] < 0.2
+    probes = {"https://casino.example.net/x": "block", "http://adult.example.net/en/4": "block", "https://freecasino.net/": "block", "https://city-library.edu/a": "allow", "https://blog.good-news.example.net/en/17": "allow"}
+    table = spark.createDataFrame([(i, u, "x", 1.0) for i, u in enumerate(probes)], "page_id long, url string, host string, suffix double")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(table).collect()}
+    assert got == dict(enumerate(probes.values()))
+    assert url_filter.judge(table.limit(0)).count() == 0
+
+
 def test_url_rules_and_trees(spark):
     urls = ["https://a.org/x", "http://m.EXAMPLE.org/es/1", "http://example.org/en/12", "http://x.com/de/", "http://x.com/fr/?q", "http://casino-win.example.net/en/1", "http://blog.thore.example.net/en/17", None, "nothing", "http://y.org"]
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
@@ -251,9 +388,68 @@ def test_quality_model_separates_classes(spark):
     assert {r["score"] for r in quality_model.quality_scores(d, labels.limit(0)).collect()} == {0.5}
 
 
+def test_recall_of_near_copies_by_length_and_edit(spark):
+    rng, texts, pairs = random.Random(9), [], []
+    for n in (60, 150, 400, 1500):
+        for kind in ("replace", "insert", "delete", "cut"):
+            for _ in range(6):
+                w = rng.choices(WORDS, k=n)
+                v = list(w)
+                for _ in range(max(1, n // 90)):
+                    at = rng.randrange(len(v))
+                    if kind == "replace":
+                        v[at] = "edited"
+                    elif kind == "insert":
+                        v.insert(at, "added")
+                    elif kind == "delete":
+                        del v[at]
+                if kind == "cut":
+                    v = v[: int(0.88 * n)]
+                pairs.append((len(texts), len(texts) + 1))
+                texts += [" ".join(w), " ".join(v)]
+    got = {r["doc_id"]: r["component"] for r in order_minhash.near_duplicate_report(docs(spark, texts)).collect()}
+    due = [(a, b) for a, b in pairs if plain_alignment(texts[a], texts[b]) >= 0.8]
+    assert len(due) > 80 and sum(got[a] == got[b] for a, b in due) >= 0.97 * len(due)
+    assert len(set(got.values())) >= len(texts) - len(due)
+
+
+def test_quality_scores_follow_the_densities(spark):
+    """Scores against the textbook formula on the same statistics."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(40, 90))) + "." * (i % 5) for i in range(150)] + [("hey! " * rng.randint(5, 30)) + " ".join(rng.choices(WORDS, k=30)) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i < 150)) for i in range(300)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_model.quality_scores(docs(spark, texts), labels).collect()}
+    x = quality_model.statistics(texts)
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in range(300)])
+    y = np.arange(300) < 150
+    parts = [x[~held & ~y], x[~held & y]]
+    n = np.array([len(p) for p in parts], float)
+    own = [np.cov(p.T, bias=True) for p in parts]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / n.sum()
+    scale = np.diag(np.diag(pooled) + 1e-6)
+    logs = []
+    for p, c, k in zip(parts, own, n):
+        a = 0.1 + 0.9 * x.shape[1] / (x.shape[1] + k)
+        cov = 0.98 * ((1 - a) * c + a * pooled) + 0.02 * scale
+        d = x - p.mean(0)
+        logs.append(np.log(k / n.sum()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    want = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -500, 500)))
+    assert all(abs(got[i]["score"] - want[i]) < 1e-6 and got[i]["held_out"] == held[i] for i in range(300))
+    assert np.mean([(got[i]["predicted"] == 1) == y[i] for i in range(300) if held[i]]) > 0.95
+
+
+def test_callers_rules_keep_their_meaning(spark):
+    rule = quality_rules.Rule("too_short", lambda t, w: t.contains("secret"))
+    texts = [" ".join(RNG.choices(WORDS, k=80)), "secret " + " ".join(RNG.choices(WORDS, k=80))]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(docs(spark, texts), [rule]).collect()}
+    assert got == {0: True, 1: False}
+    assert [r["doc_id"] for r in quality_rules.cascade(docs(spark, texts), [rule]).collect()] == [0]
+
+
 def test_empty_tables(spark):
     e = docs(spark, ["x"]).limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
     path = tokenizer_path("word_bpe_49k.json")
-    for f in (quality_rules.quality_verdicts, pii.pii_report, mixing.mix_report, mixing.mix, order_minhash.near_duplicate_report, lambda d: token_blocks.token_report(d, path)):
+    for f in (quality_rules.quality_verdicts, quality_rules.cascade, pii.pii_report, pii.redact, mixing.mix_report, mixing.mix, order_minhash.near_duplicate_report, order_minhash.deduplicate, lambda d: token_blocks.token_report(d, path), lambda d: sentence_pieces.piece_report(d, tokenizer_path("piece_bpe_32k.model")), lambda d: quality_model.quality_scores(d, labels)):
         assert f(e).count() == 0
     assert multi_index.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
