@@ -4,14 +4,20 @@ A level's volume changes only with its own messages, so it is a running sum per
 (instrument, side, price); what the book held at a message is then a join of messages
 with the levels' validity intervals. Intervals are cut into buckets of ``BUCKET``
 positions, which gives the join an equality key that spreads an instrument over tasks.
+Where only best prices and slopes are wanted, a bucket's positions and levels meet as a
+grid instead of as joined rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1024
+BUCKET = 4096
+#: Cells of a grid of positions and prices that are held at a time.
+CELLS = 4_000_000
 _LEVEL = ["instrument", "side", "px"]
 
 
@@ -59,7 +65,7 @@ def l2_levels(messages: DataFrame, clear_on_snapshot: bool = False) -> DataFrame
 
 
 def _bucketed(levels: DataFrame) -> DataFrame:
-    live = levels.where("vol > 0")
+    live = levels.where("vol > 0 AND next_pos > pos")
     return live.select("instrument", "side", "px", F.col("pos").alias("begin"), F.col("next_pos").alias("stop"), "vol", F.explode(F.sequence(F.floor(F.col("pos") / BUCKET), F.floor((F.col("next_pos") - 1) / BUCKET))).alias("bucket"))
 
 
@@ -73,14 +79,70 @@ def ladders(positions: DataFrame, levels: DataFrame, depth: int = 5) -> DataFram
     return at.select("instrument", "pos").join(sides, ["instrument", "pos"], "left").withColumns({c: F.coalesce(c, none) for c in ("bids", "asks")})
 
 
-def bbo_of(l: DataFrame) -> DataFrame:
-    """Adds ``best_bid, best_bid_qty, best_ask, best_ask_qty``; an empty side is 0."""
-    first = lambda c, f: F.coalesce(F.get(F.col(c), F.lit(0))[f], F.lit(0))
-    return l.withColumns({"best_bid": first("bids", "px"), "best_bid_qty": first("bids", "vol"), "best_ask": first("asks", "px"), "best_ask_qty": first("asks", "vol")})
+_STATE = "best_bid bigint, best_bid_qty bigint, best_ask bigint, best_ask_qty bigint, bid_levels int, ask_levels int, bid_slope double, ask_slope double"
+
+
+def _side(pos: np.ndarray, held: pd.DataFrame, falling: bool, depth: int) -> tuple[np.ndarray, ...]:
+    """Best price, its volume, number of levels (``depth`` at most) and slope of one side at each position."""
+    best, volume, count, slope = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64), np.zeros(len(pos))
+    if not len(held):
+        return best, volume, count, slope
+    px, level = np.unique(held["px"].to_numpy(), return_inverse=True)
+    if falling:
+        px, level = px[::-1], len(px) - 1 - level
+    begin, stop, vol = np.searchsorted(pos, held["begin"].to_numpy()), np.searchsorted(pos, held["stop"].to_numpy()), held["vol"].to_numpy()
+    step = max(1, CELLS // len(px))
+    for lo in range(0, len(pos), step):
+        hi = min(len(pos), lo + step)
+        grid = np.zeros((hi - lo + 1, len(px)), np.int64)
+        np.add.at(grid, (np.clip(begin, lo, hi) - lo, level), vol)
+        np.subtract.at(grid, (np.clip(stop, lo, hi) - lo, level), vol)
+        grid = grid[:-1].cumsum(axis=0)
+        rank = (grid > 0).cumsum(axis=1)
+        n = np.minimum(rank[:, -1], depth)
+        sums = np.zeros((2, hi - lo))
+        for k in range(depth):
+            there = n > k
+            at = (rank > k).argmax(axis=1)
+            v = grid[np.arange(hi - lo), at]
+            if k == 0:
+                best[lo:hi], volume[lo:hi] = np.where(there, px[at], 0), np.where(there, v, 0)
+            y = np.where(there, np.log(np.maximum(v, 1)), 0.0)
+            sums += y, k * y
+        m = n.astype(float)
+        sx, sxx = m * (m - 1) / 2, m * (m - 1) * (2 * m - 1) / 6
+        with np.errstate(invalid="ignore", divide="ignore"):
+            slope[lo:hi] = np.where(n >= 2, (m * sums[1] - sx * sums[0]) / (m * sxx - sx * sx), 0.0)
+        count[lo:hi] = n
+    return best, volume, count, slope
+
+
+def book_states(messages: DataFrame, levels: DataFrame, depth: int = 5) -> DataFrame:
+    """``messages`` with the book's best prices, levels and slopes (of ``depth`` levels at most) after each.
+
+    A slope is the least-squares one of ln(max(volume, 1)) over the level's index, 0 under two levels.
+    """
+    names = [f.split()[0] for f in _STATE.split(", ")]
+
+    def run(at: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        at = at.drop(columns="bucket").sort_values("pos", ignore_index=True)
+        pos = at["pos"].to_numpy()
+        held = held.rename(columns=lambda c: c.removeprefix("_"))
+        b, bq, bn, bs = _side(pos, held[held["side"] == "Buy"], True, depth)
+        a, aq, an, as_ = _side(pos, held[held["side"] == "Sell"], False, depth)
+        return at.assign(**dict(zip(names, (b, bq, a, aq, bn, an, bs, as_))))
 
+    bucketed = messages.withColumn("bucket", F.floor(F.col("pos") / BUCKET))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
+    # New names on the other side, as both may come from one table.
+    held_ = _bucketed(levels).select(F.col("instrument").alias("_i"), F.col("bucket").alias("_b"), F.col("side").alias("_side"), F.col("px").alias("_px"), F.col("begin").alias("_begin"), F.col("stop").alias("_stop"), F.col("vol").alias("_vol"))
+    return bucketed.groupBy("instrument", "bucket").cogroup(held_.groupBy("_i", "_b")).applyInPandas(run, f"{kinds}, {_STATE}")
 
-def bbo(messages: DataFrame) -> DataFrame:
-    return bbo_of(ladders(messages, l2_levels(messages), 1)).drop("bids", "asks")
+
+def bbo(messages: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """``instrument, pos`` and the best prices and volumes after each message; an empty side is 0."""
+    states = book_states(messages.select("instrument", "pos"), l2_levels(messages) if levels is None else levels, 1)
+    return states.select("instrument", "pos", "best_bid", "best_bid_qty", "best_ask", "best_ask_qty")
 
 
 def depth_topn(positions: DataFrame, levels: DataFrame, n: int = 5) -> DataFrame:
@@ -152,6 +214,21 @@ def l3_levels(remaining: DataFrame) -> DataFrame:
     return remaining.where("delta <> 0").select(*_LEVEL, "pos", F.sum("delta").over(w).alias("vol"))
 
 
+def order_levels(messages: DataFrame, remaining: DataFrame) -> DataFrame:
+    """``l3_levels`` as intervals: ``instrument, side, px, pos, next_pos, vol``."""
+    ends = messages.groupBy("instrument").agg((F.max("pos") + 1).alias("end"))
+    # A replacement at the same price is two changes at one position; the last one counts.
+    part = [c for c in ("part",) if c in remaining.columns]
+    w = Window.partitionBy(*_LEVEL).orderBy("pos", *part)
+    rows = remaining.where("delta <> 0").select(*_LEVEL, "pos", *part, F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("vol"))
+    return rows.withColumn("_next", F.lead("pos").over(w)).join(ends, "instrument").select(*_LEVEL, "pos", F.coalesce("_next", "end").alias("next_pos"), "vol").where("next_pos > pos")
+
+
+def resting_sides(remaining: DataFrame) -> DataFrame:
+    """``instrument, pos, resting_side``: the side of the order a message names while that order still stands after it."""
+    return remaining.where("remaining > 0").groupBy("instrument", "pos").agg(F.max("side").alias("resting_side"))
+
+
 def order_lookup(probes: DataFrame, remaining: DataFrame) -> DataFrame:
     """The order a probe (``instrument, pos, order_id``) finds before its position: ``px, side, remaining`` or nulls."""
     states = remaining.select("instrument", "order_id", "pos", F.struct("px", "side", "remaining").alias("state"), F.lit(0).alias("probe"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthline.operators.book import bbo_of, l2_levels, ladders
+from depthline.operators.book import book_states, l2_levels, l3_remaining, order_levels, resolve_replacements, resting_sides
 
 SECOND = 1_000_000
 _TWO = "best_bid <> 0 AND best_ask <> 0"
@@ -15,16 +15,6 @@ def _by_pos() -> Window:
     return Window.partitionBy("instrument").orderBy("pos")
 
 
-def slope(levels: Column, least: int = 2) -> Column:
-    """Least-squares slope of ln(max(quantity, 1)) over the level's index; 0 under ``least`` levels."""
-    n = F.size(levels).cast("double")
-    y = F.transform(levels, lambda v: F.ln(F.greatest(v["vol"], F.lit(1)).cast("double")))
-    sy = F.aggregate(y, F.lit(0.0), lambda a, b: a + b)
-    sxy = F.aggregate(F.transform(y, lambda v, i: v * i), F.lit(0.0), lambda a, b: a + b)
-    sx, sxx = n * (n - 1) / 2, n * (n - 1) * (2 * n - 1) / 6
-    return F.when(n >= least, F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)).otherwise(F.lit(0.0))
-
-
 def price_features(df: DataFrame) -> DataFrame:
     """Adds mid, spread, microprice, imbalance (null while a side is empty)."""
     b, a = F.col("best_bid") / 10000.0, F.col("best_ask") / 10000.0
@@ -46,12 +36,17 @@ def held(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def volatility(df: DataFrame, mids: int = 10) -> DataFrame:
-    """Adds ``volatility``: sample deviation of the log returns of the last ``mids`` two-sided mids."""
-    two = df.where(_TWO).select("instrument", "pos", "midprice")
-    r = two.withColumn("r", F.ln(F.col("midprice") / F.lag("midprice").over(_by_pos())))
-    w = _by_pos().rowsBetween(-(mids - 2), 0)
-    dev = r.select("instrument", "pos", F.coalesce(F.when(F.count("r").over(w) >= 2, F.stddev_samp("r").over(w)), F.lit(0.0)).alias("volatility"))
-    return df.join(dev, ["instrument", "pos"], "left")
+    """Adds ``volatility``: sample deviation of the log returns of the last ``mids`` two-sided mids, held while a side is empty.
+
+    Two-sided rows are numbered, so the frame is a range of that number and no row is left out or joined back.
+    """
+    two = F.expr(_TWO)
+    upto = _by_pos().rowsBetween(Window.unboundedPreceding, 0)
+    before = _by_pos().rowsBetween(Window.unboundedPreceding, -1)
+    mid = F.when(two, F.col("midprice"))
+    rows = df.withColumns({"_i": F.count(F.when(two, 1)).over(upto), "_r": F.when(two, F.ln(F.col("midprice") / F.last(mid, ignorenulls=True).over(before)))})
+    w = Window.partitionBy("instrument").orderBy("_i").rangeBetween(-(mids - 2), 0)
+    return rows.withColumn("volatility", F.coalesce(F.when(F.count("_r").over(w) >= 2, F.stddev_samp("_r").over(w)), F.lit(0.0))).drop("_i", "_r")
 
 
 def recent(condition: Column, window_us: int = SECOND) -> Column:
@@ -95,29 +90,42 @@ def buy_ratio(df: DataFrame) -> DataFrame:
     """Adds ``buy_ratio``; needs the held mid, both best prices and, for orders, ``resting_side``."""
     trade = F.col("type").isin("Trade", "Execute")
     by_price = F.expr(_TWO) & (F.col("px") / 10000.0 >= F.col("midprice"))
-    bought = F.when(F.col("order_id") != 0, F.col("resting_side") == "Sell").otherwise(by_price) if "resting_side" in df.columns else by_price
+    bought = F.when(F.col("order_id") != 0, F.coalesce(F.col("resting_side") == "Sell", F.lit(False))).otherwise(by_price) if "resting_side" in df.columns else by_price
     trades, buys = recent(trade), recent(trade & bought)
     rows = df.withColumn("_ratio", F.when(trades > 0, buys / trades))
     return rows.withColumn("buy_ratio", F.coalesce(F.last("_ratio", ignorenulls=True).over(_by_pos().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).drop("_ratio")
 
 
-def book_features(messages: DataFrame) -> DataFrame:
+def priced(messages: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """Messages with best prices and the four price features, held while a side is empty."""
+    rows = price_features(book_states(messages, l2_levels(messages) if levels is None else levels, 1))
+    return held(rows, "midprice", "spread", "microprice", "queue_imbalance").drop("bid_levels", "ask_levels", "bid_slope", "ask_slope")
+
+
+def book_features(messages: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """Messages with best prices, price features, slopes and volatility, held while a side is empty."""
-    l = bbo_of(ladders(messages, l2_levels(messages), 5))
     two = F.expr(_TWO)
-    l = price_features(l).withColumns({"bid_slope": F.when(two, slope(F.col("bids"))), "ask_slope": F.when(two, slope(F.col("asks")))}).drop("bids", "asks")
-    full = volatility(messages.join(l, ["instrument", "pos"]))
-    return held(full, "midprice", "spread", "microprice", "queue_imbalance", "bid_slope", "ask_slope", "volatility")
+    rows = price_features(book_states(messages, l2_levels(messages) if levels is None else levels, 5))
+    rows = volatility(rows).withColumns({c: F.when(two, F.col(c)) for c in ("bid_slope", "ask_slope")})
+    return held(rows, "midprice", "spread", "microprice", "queue_imbalance", "bid_slope", "ask_slope").drop("bid_levels", "ask_levels")
 
 
 def all_features(messages: DataFrame) -> DataFrame:
-    """All twelve features per message."""
+    """All twelve features per level message."""
     return buy_ratio(ofi(rates(book_features(messages))))
 
 
+def order_features(messages: DataFrame) -> DataFrame:
+    """All twelve features per order message: the book is that of the orders, and a trade's side that of the order it meets."""
+    remaining = l3_remaining(resolve_replacements(messages))
+    rows = messages.join(resting_sides(remaining), ["instrument", "pos"], "left")
+    return buy_ratio(ofi(rates(book_features(rows, order_levels(messages, remaining))))).drop("resting_side")
+
+
 def live_features(messages: DataFrame) -> DataFrame:
     """The live variant: nulls while a side is empty, imbalance in [0, 1], slopes from three levels on."""
-    l = bbo_of(ladders(messages, l2_levels(messages, clear_on_snapshot=True), 5))
+    rows = book_states(messages.select("instrument", "pos"), l2_levels(messages, clear_on_snapshot=True), 5)
     bq, aq = F.col("best_bid_qty").cast("double"), F.col("best_ask_qty").cast("double")
-    p = price_features(l).withColumns({"queue_imbalance": F.coalesce(F.try_divide(bq, bq + aq), F.lit(0.5)), "bid_slope": slope(F.col("bids"), 3), "ask_slope": slope(F.col("asks"), 3)})
-    return p.drop("bids", "asks")
+    slope = lambda side: F.when(F.col(f"{side}_levels") >= 3, F.col(f"{side}_slope")).otherwise(F.lit(0.0))
+    p = price_features(rows).withColumns({"queue_imbalance": F.coalesce(F.try_divide(bq, bq + aq), F.lit(0.5)), "bid_slope": slope("bid"), "ask_slope": slope("ask")})
+    return p.drop("bid_levels", "ask_levels")

@@ -53,6 +53,13 @@ def direction_pnl(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return rows.withColumn("curve", F.sum("reward").over(_by_pos().rowsBetween(Window.unboundedPreceding, 0)) * F.lit(1e-4))
 
 
+def evaluation(scored: DataFrame, *by: str, threshold: float = 0.5) -> DataFrame:
+    """Per model (``by``) or in one row: Sharpe of right and wrong directions, and share of right ones."""
+    side = F.when(F.col("prob") > threshold, 1).otherwise(-1)
+    reward = F.when((side == 1) == (F.col("y") == 1), 1.0).otherwise(-1.0)
+    return scored.groupBy(*by).agg((F.avg(reward) / F.greatest(F.stddev_pop(reward), F.lit(1e-12)) * YEARLY).alias("sharpe"), F.avg((reward > 0).cast("double")).alias("right"), F.count(F.lit(1)).alias("n"))
+
+
 def live_accuracy(rows: DataFrame, lag: int = 5) -> DataFrame:
     """Delayed scoring: each row scores the prediction made ``lag`` rows before against the mid's move since."""
     w = _by_pos()

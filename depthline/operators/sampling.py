@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthline.operators.features import all_features
+from depthline.operators.features import all_features, order_features
 from depthline.schema import SNAPSHOT
 
+#: A cent in units of the fixed-point price.
+TICK = 100
+
 
 def sample_positions(messages: DataFrame, time_us: int = 100_000, count: int = 1000) -> DataFrame:
     """``instrument, pos`` of emitted rows: the first, then when enough time or rows have passed since the last.
@@ -45,10 +48,20 @@ def sample_positions(messages: DataFrame, time_us: int = 100_000, count: int = 1
     return ordered.mapInPandas(run, "instrument string, pos bigint")
 
 
-def market_snapshots(messages: DataFrame, time_us: int = 100_000, count: int = 1000, predict: Column | None = None) -> DataFrame:
-    """The 19-column snapshot table (and ``instrument, pos``); ``prediction`` is NaN without a model."""
-    rows = all_features(messages).join(sample_positions(messages, time_us, count), ["instrument", "pos"])
-    rows = rows.withColumn("seq", F.col("ts_us")).withColumn("prediction", predict if predict is not None else F.lit(float("nan")))
+def market_snapshots(messages: DataFrame, time_us: int = 100_000, count: int = 1000, predict=None, by_order: bool = False) -> DataFrame:
+    """The 19-column snapshot table (and ``instrument, pos``).
+
+    ``by_order`` takes the messages as an order feed.  ``predict`` is a column over the rows or a
+    fitted pipeline; without one ``prediction`` is NaN.
+    """
+    rows = (order_features if by_order else all_features)(messages).join(sample_positions(messages, time_us, count), ["instrument", "pos"])
+    rows = rows.withColumn("seq", F.col("ts_us"))
+    if predict is None or isinstance(predict, Column):
+        rows = rows.withColumn("prediction", F.lit(float("nan")) if predict is None else predict)
+    else:
+        from depthline.operators.models import score
+
+        rows = score(predict, rows).withColumnRenamed("prob", "prediction")
     return rows.select("instrument", "pos", *SNAPSHOT)
 
 
@@ -76,11 +89,16 @@ def chrono_split(rows: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def queue_fills(rows: DataFrame, order_qty: int = 100, side: str = "buy", ahead: int = 99) -> DataFrame:
-    """Per two-sided row the first later row (within ``ahead``) where the best queue fell below what stood before us."""
-    qty = F.col("best_bid_qty" if side == "buy" else "best_ask_qty")
+    """Per two-sided row the order's features and the first later row (within ``ahead``) where the best queue fell below what stood before it.
+
+    Market columns of ``rows`` come along; ``order_price`` is one tick past the opposite best
+    price and ``level_imbalance`` the queue's share of both best volumes.
+    """
+    qty, other = F.col("best_bid_qty" if side == "buy" else "best_ask_qty"), F.col("best_ask_qty" if side == "buy" else "best_bid_qty")
+    price = F.col("best_ask") + TICK if side == "buy" else F.col("best_bid") - TICK
     w = Window.partitionBy("instrument").orderBy("pos").rowsBetween(1, ahead)
     later = F.collect_list(F.struct("ts_us", qty.alias("q"))).over(w)
-    rows = rows.withColumn("depth_ahead", qty).withColumn("_later", later)
+    rows = rows.withColumns({"order_price": price, "depth_ahead": qty, "level_imbalance": F.coalesce(F.try_divide(qty.cast("double"), (qty + other).cast("double")), F.lit(0.5)), "_later": later})
     first = F.get(F.filter("_later", lambda x: x["q"] < F.col("depth_ahead") - order_qty), F.lit(0))
     dt = first["ts_us"] - F.col("ts_us")
     rows = rows.withColumn("expected_fill_time_us", dt.cast("double")).drop("_later").where("best_bid <> 0 AND best_ask <> 0")

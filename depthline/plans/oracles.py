@@ -200,3 +200,61 @@ _SAMPLED = _chain(1000).removeprefix("WITH RECURSIVE ").rsplit("SELECT instrumen
 ORACLES["prediction_default"] = "WITH RECURSIVE " + _SAMPLED[0] + "SELECT instrument, pos, true AS none FROM hop" + _SAMPLED[1]
 ORACLES["market_snapshots"] = f"""SELECT f.instrument, f.pos, b.ts_us AS seq, b.ts_us, best_bid, best_bid_qty, best_ask, best_ask_qty, f.* EXCLUDE (instrument, pos)
 FROM ({ORACLES['features_all']}) f JOIN ({_with('bbo', 'SELECT * FROM bbo')}) b USING (instrument, pos) JOIN ({ORACLES['sample_snapshots']}) s USING (instrument, pos)"""
+
+_BOTH = "(SELECT p.instrument, p.pos, " + _VOLUME.format("'Buy'") + " AS vb, " + _VOLUME.format("'Sell'") + " AS va FROM probe p)"
+_EIGHT = "round(queue_imbalance, 9) AS top_imbalance, round(spread, 9) AS spread, round(midprice, 9) AS midprice, arrival_rate, cancel_rate, ofi"
+ORACLES["queue_model_features"] = _with("lev probe pr rate ofi", f"SELECT p.instrument, p.pos, p.side, p.px, {_VOLUME.format('p.side')} AS depth_ahead, round(CASE WHEN vb + va = 0 THEN 0.5::DOUBLE ELSE vb / (vb + va)::DOUBLE END, 9) AS level_imbalance, {_EIGHT} FROM probe p JOIN {_BOTH} x USING (instrument, pos) JOIN pr USING (instrument, pos) JOIN rate USING (instrument, pos) JOIN ofi USING (instrument, pos)")
+_FILLS = ORACLES["queue_fill_sim"]
+ORACLES["queue_train_table"] = f"""SELECT q.instrument, q.pos, best_ask + 100 AS order_price, q.depth_ahead, round(best_bid_qty / (best_bid_qty + best_ask_qty)::DOUBLE, 9) AS level_imbalance, {_EIGHT}, fill_1ms, fill_5ms, fill_10ms
+FROM ({_FILLS}) q JOIN ({_with('pr rate ofi', 'SELECT * FROM pr JOIN rate USING (instrument, pos) JOIN ofi USING (instrument, pos)')}) z USING (instrument, pos)"""
+ORACLES["evaluate_sharpe"] = _with("sco", "SELECT instrument, round(avg(r) / greatest(stddev_pop(r), 1e-12) * sqrt(252 * 6.5 * 3600), 6) AS sharpe, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END), 9) AS right, count(*) AS n FROM (SELECT instrument, CASE WHEN (prob > 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE -1.0 END AS r FROM sco) GROUP BY 1").replace('AS right', 'AS "right"')
+ORACLES["depth_pipeline"] = _with(
+    "ev",
+    """SELECT m.pos, any_value(m.type) AS type, coalesce(max(v.px) FILTER (v.side = 'Buy'), 0) AS best_bid, coalesce(arg_max(v.qty, v.px) FILTER (v.side = 'Buy'), 0) AS best_bid_qty,
+  coalesce(min(v.px) FILTER (v.side = 'Sell'), 0) AS best_ask, coalesce(arg_min(v.qty, v.px) FILTER (v.side = 'Sell'), 0) AS best_ask_qty
+FROM k m LEFT JOIN (SELECT * FROM k WHERE qty > 0) v ON v.pos <= m.pos AND m.pos < v.nxt GROUP BY m.pos""",
+    (("x", _DEPTH), ("k", "SELECT *, event_id * 3 + n AS pos, coalesce(lead(event_id * 3 + n) OVER w, 9223372036854775807) AS nxt, CASE WHEN qty = 0 THEN 'Delete' WHEN coalesce(lag(qty) OVER w, 0) = 0 THEN 'Add' ELSE 'Modify' END AS type FROM x WINDOW w AS (PARTITION BY side, px ORDER BY event_id * 3 + n)")),
+)
+
+# The order feed: the same statements over other messages, levels, rates and trade sides.
+_FEED = {
+    "of": """SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY pos) - 1 AS k, lead(pos) OVER (PARTITION BY order_id ORDER BY pos) IS NULL AS lst,
+      first_value(qty) OVER (PARTITION BY order_id ORDER BY pos) AS total, order_id % 6 AS kind, px + CASE side WHEN 'Buy' THEN -50 ELSE 50 END AS px2 FROM l3""",
+    "l2": """SELECT instrument, pos, pos * 20000 AS ts_us, order_id AS root,
+      CASE WHEN k = 0 THEN 'Add' WHEN kind = 1 OR kind = 3 AND lst THEN 'Delete' WHEN kind = 2 THEN 'Trade' WHEN kind = 4 AND k = 1 THEN 'Replace' ELSE 'Execute' END AS type,
+      CASE WHEN kind = 4 AND k > 1 THEN order_id + 1000000000 ELSE order_id END AS order_id, CASE WHEN kind = 4 AND k = 1 THEN order_id + 1000000000 ELSE 0 END AS new_order_id,
+      CAST(CASE WHEN k = 0 OR kind = 2 THEN px WHEN kind = 4 AND k = 1 THEN px2 ELSE 0 END AS BIGINT) AS px,
+      CAST(CASE WHEN kind = 3 AND lst AND k > 0 THEN 0 WHEN kind = 4 AND k = 1 THEN total ELSE qty END AS BIGINT) AS qty, CASE WHEN k = 0 THEN side ELSE 'Buy' END AS side FROM of""",
+    "orem": """SELECT *, CASE WHEN kind = 3 AND lst AND k > 0 THEN 0 ELSE greatest(total - sum(CASE WHEN k = 0 OR kind = 4 AND k = 1 THEN 0 ELSE qty END) OVER (PARTITION BY order_id ORDER BY pos), 0) END AS rem FROM of""",
+    "odel": """SELECT instrument, side, CASE WHEN kind = 4 AND k > 0 THEN px2 ELSE px END AS px, pos, CASE WHEN kind = 4 AND k = 1 THEN total ELSE rem - coalesce(lag(rem) OVER (PARTITION BY order_id ORDER BY pos), 0) END AS d FROM orem
+      UNION ALL SELECT instrument, side, px, pos, -total FROM orem WHERE kind = 4 AND k = 1""",
+    "lev": """SELECT instrument, side, px, pos, coalesce(lead(pos) OVER w, 9223372036854775807) AS next_pos, CAST(sum(d) OVER w AS BIGINT) AS vol FROM odel WHERE d <> 0 WINDOW w AS (PARTITION BY instrument, side, px ORDER BY pos)""",
+    "rate": """SELECT instrument, pos, CAST(count(*) FILTER (type = 'Add') OVER w AS DOUBLE) AS arrival_rate, CAST(count(*) FILTER (type = 'Delete') OVER w AS DOUBLE) AS cancel_rate,
+      CAST(count(*) FILTER (type IN ('Trade', 'Execute')) OVER w AS DOUBLE) AS trade_intensity FROM l2 WINDOW w AS (PARTITION BY instrument ORDER BY ts_us RANGE BETWEEN 1000000 PRECEDING AND CURRENT ROW)""",
+    "buys": "SELECT l2.instrument, l2.pos, l2.ts_us, l2.type IN ('Trade', 'Execute') AS t, l2.type IN ('Trade', 'Execute') AND orem.rem > 0 AND orem.side = 'Sell' AS hit FROM l2 JOIN orem USING (instrument, pos)",
+    "br0": "SELECT instrument, pos, count(*) FILTER (hit) OVER w / nullif(count(*) FILTER (t) OVER w, 0)::DOUBLE AS r FROM buys WINDOW w AS (PARTITION BY instrument ORDER BY ts_us RANGE BETWEEN 1000000 PRECEDING AND CURRENT ROW)",
+}
+_FEED_NEEDS = {"of": "l3", "l2": "of", "orem": "of", "odel": "orem", "lev": "odel", "buys": "l2 orem"}
+
+
+def _feed_oracles() -> dict[str, str]:
+    kept = dict(_CTE), dict(_NEEDS)
+    _CTE.update(_FEED)
+    _NEEDS.update(_FEED_NEEDS)
+    try:
+        full, best, chain = _with(_ALL, _FULL + _JOINS), _with("bbo", "SELECT * FROM bbo"), _chain(1000)
+        return {
+            "itch_messages": _with("l2", "SELECT instrument, pos, ts_us, type, order_id, new_order_id, px, qty, side FROM l2"),
+            "order_bbo": _with("bbo", "SELECT instrument, pos, best_bid, best_bid_qty, best_ask, best_ask_qty FROM bbo"),
+            "buy_ratio_orders": _with("br", "SELECT * FROM br"),
+            "order_features": full,
+            "itch_snapshots": f"""SELECT f.instrument, f.pos, b.ts_us AS seq, b.ts_us, best_bid, best_bid_qty, best_ask, best_ask_qty, f.* EXCLUDE (instrument, pos)
+FROM ({full}) f JOIN ({best}) b USING (instrument, pos) JOIN ({chain}) s USING (instrument, pos)""",
+        }
+    finally:
+        for now, before in zip((_CTE, _NEEDS), kept):
+            now.clear()
+            now.update(before)
+
+
+ORACLES.update(_feed_oracles())

@@ -27,7 +27,7 @@ def _l2(s: SparkSession, d: str) -> DataFrame:
 
 def _priced(s: SparkSession, d: str) -> DataFrame:
     """Held prices of the level messages, the base of labels and backtests."""
-    return features.book_features(_l2(s, d)).select("instrument", "pos", "ts_us", "best_bid", "best_bid_qty", "best_ask", "best_ask_qty", "midprice", "spread", "microprice", "queue_imbalance")
+    return features.priced(_l2(s, d)).select("instrument", "pos", "ts_us", "best_bid", "best_bid_qty", "best_ask", "best_ask_qty", "midprice", "spread", "microprice", "queue_imbalance")
 
 
 def _quoted(s: SparkSession, d: str) -> DataFrame:
@@ -64,12 +64,12 @@ def route_lines(s, d):
 @query
 def itch_parse(s, d):
     files = itch.encode_orders(fixtures.l3_messages(s, d))
-    return itch.parse_itch(files).select("instrument", "n", "track", "ts_us", "type", "order_id", "px", "qty", "side")
+    return itch.parse_orders(files).select("instrument", "n", "track", "ts_us", "type", "order_id", "px", "qty", "side")
 
 
 @query
 def batch_track_range(s, d):
-    m = itch.parse_itch(itch.encode_orders(fixtures.l3_messages(s, d)))
+    m = itch.parse_orders(itch.encode_orders(fixtures.l3_messages(s, d)))
     return m.groupBy("instrument").agg(F.min_by("track", "n").alias("first_track"), F.max_by("track", "n").alias("last_track"))
 
 
@@ -225,24 +225,67 @@ def order_lookup(s, d):
     return book.order_lookup(m.where("type = 'Execute'").select("instrument", "pos", "order_id"), book.l3_remaining(m))
 
 
+def _fed(s: SparkSession, d: str) -> DataFrame:
+    """The order feed after a round trip through its binary files."""
+    return itch.parse_orders(itch.encode_orders(fixtures.order_feed(s, d)))
+
+
+@query
+def itch_messages(s, d):
+    """Every kind of order message as decoded from the binary feed."""
+    return _fed(s, d).select("instrument", "pos", "ts_us", "type", "order_id", "new_order_id", "px", "qty", "side")
+
+
+@query
+def order_bbo(s, d):
+    m = fixtures.order_feed(s, d)
+    return book.bbo(m, book.order_levels(m, book.l3_remaining(book.resolve_replacements(m))))
+
+
+@query
+def buy_ratio_orders(s, d):
+    """Trades by order id count as bought when the order they meet is a sell order that still stands."""
+    return features.order_features(fixtures.order_feed(s, d)).select("instrument", "pos", "buy_ratio")
+
+
+@query
+def order_features(s, d):
+    return features.order_features(fixtures.order_feed(s, d)).select("instrument", "pos", "ofi", "arrival_rate", "cancel_rate", "trade_intensity", "buy_ratio", *r9("midprice", "spread", "microprice", "queue_imbalance", "bid_slope", "ask_slope", "volatility"))
+
+
+@query
+def itch_snapshots(s, d):
+    """The main program: binary feed, order book, twelve features, sampler, 19 columns."""
+    rows = sampling.market_snapshots(_fed(s, d), by_order=True).drop("prediction")
+    return rows.select(*[F.round(c, 9).alias(c) if t == "double" and c != "buy_ratio" else F.col(c) for c, t in rows.dtypes])
+
+
+@query
+def depth_pipeline(s, d):
+    """Update lines to normalised messages and the best prices after each."""
+    m = depth_json.parse_depth_updates(fixtures.depth_lines(s, d)).withColumns({"instrument": F.lit("X"), "pos": F.col("event_id") * 3 + F.col("n")})
+    kinds = book.normalize(m).select("instrument", "pos", "type")
+    return book.bbo(m).join(kinds, ["instrument", "pos"]).drop("instrument")
+
+
 @query
 def midprice(s, d):
-    return features.held(features.price_features(book.bbo(_l2(s, d))), "midprice").select("instrument", "pos", "midprice")
+    return features.priced(_l2(s, d)).select("instrument", "pos", "midprice")
 
 
 @query
 def spread(s, d):
-    return features.held(features.price_features(book.bbo(_l2(s, d))), "spread").select("instrument", "pos", *r9("spread"))
+    return features.priced(_l2(s, d)).select("instrument", "pos", *r9("spread"))
 
 
 @query
 def microprice(s, d):
-    return features.held(features.price_features(book.bbo(_l2(s, d))), "microprice").select("instrument", "pos", *r9("microprice"))
+    return features.priced(_l2(s, d)).select("instrument", "pos", *r9("microprice"))
 
 
 @query
 def queue_imbalance(s, d):
-    return features.held(features.price_features(book.bbo(_l2(s, d))), "queue_imbalance").select("instrument", "pos", *r9("queue_imbalance"))
+    return features.priced(_l2(s, d)).select("instrument", "pos", *r9("queue_imbalance"))
 
 
 @query
@@ -272,7 +315,7 @@ def trade_intensity(s, d):
 
 @query
 def buy_ratio(s, d):
-    return features.buy_ratio(features.book_features(_l2(s, d))).select("instrument", "pos", "buy_ratio")
+    return features.buy_ratio(features.priced(_l2(s, d))).select("instrument", "pos", "buy_ratio")
 
 
 @query
@@ -360,6 +403,27 @@ def queue_features(s, d):
     return ahead.join(_priced(s, d), ["instrument", "pos"]).select("instrument", "pos", "side", "px", "depth_ahead", *r9("midprice", "spread", "queue_imbalance"))
 
 
+@query
+def queue_model_features(s, d):
+    """The eight features of an order placed at the probed price."""
+    m = _l2(s, d)
+    ahead = volume_at(s, d).select("instrument", "pos", "side", "px", F.col("volume").alias("depth_ahead"))
+    rows = features.ofi(features.rates(features.priced(m))).select("instrument", "pos", "midprice", "spread", "queue_imbalance", "arrival_rate", "cancel_rate", "ofi")
+    return ahead.join(level_imbalance(s, d), ["instrument", "pos"]).join(rows, ["instrument", "pos"]).select("instrument", "pos", "side", "px", "depth_ahead", *r9("level_imbalance"), F.round("queue_imbalance", 9).alias("top_imbalance"), *r9("spread", "midprice"), "arrival_rate", "cancel_rate", "ofi")
+
+
+@query
+def queue_train_table(s, d):
+    """Features and targets of the fill model, from simulated orders."""
+    rows = sampling.queue_fills(features.ofi(features.rates(features.priced(_l2(s, d)))))
+    return rows.select("instrument", "pos", "order_price", "depth_ahead", *r9("level_imbalance"), F.round("queue_imbalance", 9).alias("top_imbalance"), *r9("spread", "midprice"), "arrival_rate", "cancel_rate", "ofi", "fill_1ms", "fill_5ms", "fill_10ms")
+
+
+@query
+def evaluate_sharpe(s, d):
+    return metrics.evaluation(_scored(s, d), "instrument").select("instrument", F.round("sharpe", 6).alias("sharpe"), *r9("right"), "n")
+
+
 @query
 def backtest_positions(s, d):
     return metrics.turnover(metrics.positions(_scored(s, d), 0.55)).select("instrument", "pos", F.col("position").cast("bigint").alias("position"), F.col("turnover").cast("bigint").alias("turnover"))

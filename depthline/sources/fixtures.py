@@ -46,6 +46,34 @@ def l3_messages(spark: SparkSession, sf_dir: str, orphans: bool = False) -> Data
     return both.select("instrument", F.row_number().over(order).cast("bigint").alias("pos"), "type", "order_id", "px", "qty", "side")
 
 
+def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical order messages of every kind; what an order's lines do depends on its id.
+
+    Adds, executes, partial deletes, trades by id at a stated price, whole deletes on the last
+    line, and replacements on the first line after which the new id is executed.
+    """
+    own = Window.partitionBy("order_id").orderBy("pos")
+    m = l3_messages(spark, sf_dir).withColumns({"k": F.row_number().over(own) - 1, "last": F.lead("pos").over(own).isNull(), "total": F.first("qty").over(own), "kind": F.col("order_id") % 6})
+    later = F.col("k") > 0
+    moved = (F.col("kind") == 4) & later
+    kind = F.when(~later, "Add").when(F.col("kind") == 1, "Delete").when(F.col("kind") == 2, "Trade").when((F.col("kind") == 3) & F.col("last"), "Delete").when(moved & (F.col("k") == 1), "Replace").otherwise("Execute")
+    m = m.withColumn("type", kind)
+    new = F.col("order_id") + 1_000_000_000
+    out = F.when(F.col("side") == "Buy", -50).otherwise(50)
+    return m.select(
+        "instrument",
+        "pos",
+        (F.col("pos") * 20_000).alias("seq"),
+        (F.col("pos") * 20_000).alias("ts_us"),
+        "type",
+        F.when(moved & (F.col("k") > 1), new).otherwise(F.col("order_id")).alias("order_id"),
+        F.when(F.col("type") == "Replace", new).otherwise(0).cast("bigint").alias("new_order_id"),
+        F.when(F.col("type").isin("Add", "Trade"), F.col("px")).when(F.col("type") == "Replace", F.col("px") + out).otherwise(0).cast("bigint").alias("px"),
+        F.when((F.col("kind") == 3) & F.col("last") & later, 0).when(F.col("type") == "Replace", F.col("total")).otherwise(F.col("qty")).cast("bigint").alias("qty"),
+        F.when(later, "Buy").otherwise(F.col("side")).alias("side"),
+    )
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with ties and labels, in order of ``pos``."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), (F.col("event_id") * 7919 % 1000 / F.lit(1000.0)).alias("prob"), (F.col("event_id") % 3 == 0).cast("int").alias("y"))
