@@ -293,7 +293,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     with Scratch(spark):
         ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
         blocks = stored(ordered.mapInPandas(_pack(tokenizer_path, dtype, end_id, block_ids, size), f"{_PLACES}, ids binary, used array<int>, counts array<long>"), "token-ids")
-        counts = blocks.select(F.inline(F.arrays_zip("used", "counts"))).groupBy(F.col("used").alias("id")).agg(F.sum("counts").alias("n")).orderBy("id").toPandas()
+
+        def count(batches):
+            """One task's share of the counts, a row for each id it has."""
+            total = np.zeros(size, np.int64)
+            for batch in batches:
+                for used, n in zip(batch["used"], batch["counts"]):
+                    total[used] += n
+            used = np.flatnonzero(total)
+            yield pd.DataFrame({"id": used, "n": total[used]})
+
+        summed = blocks.select("used", "counts").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        counts = summed.orderBy("id").toPandas()
         ids, freqs = counts["id"].to_numpy(np.int64), FrequencyTable.scaled(counts["n"].to_numpy(np.int64)) if len(counts) else np.zeros(0, np.int64)
         spark.createDataFrame(pd.DataFrame({"id": ids, "frequency": freqs, "size": np.full(len(ids), size)}), "id long, frequency long, size long").coalesce(1).write.parquet(f"{path}/frequencies")
         table = FrequencyTable(ids, freqs, size)
