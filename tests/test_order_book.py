@@ -109,6 +109,70 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_live_loop_equals_batch(spark, tmp_path):
+    from depthline.streaming.live import live_loop, record
+
+    rng = random.Random(13)
+    rows = [(i * 30_000, rng.choice(["Modify", "Modify", "Delete"]), 1000000 + (-100 if i % 2 else 100) * rng.randint(1, 4), rng.randint(1, 9), 0, 0, "Buy" if i % 2 else "Sell") for i in range(90)]
+    m = msgs(spark, rows)
+    for lo in (0, 30, 60):
+        m.where(f"pos >= {lo} AND pos < {lo + 30}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = record(live_loop(stream, lambda f: (f["pos"] * 7919 % 1000 / 1000.0).to_numpy()), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("pos").collect()
+    batch = features.rates(features.ofi(m)).join(features.live_features(m), ["instrument", "pos"]).join(book.book_states(m.select("instrument", "pos"), book.l2_levels(m)).select("pos", F.col("bid_slope").alias("b"), F.col("ask_slope").alias("a")), "pos").orderBy("pos").collect()
+    for g, w in zip(got, batch):
+        assert (g["ofi"], g["arrival_rate"], g["cancel_rate"], g["best_bid"], g["best_bid_qty"], g["best_ask"], g["best_ask_qty"]) == (w["ofi"], w["arrival_rate"], w["cancel_rate"], w["best_bid"], w["best_bid_qty"], w["best_ask"], w["best_ask_qty"])
+        assert g["bid_slope"] == pytest.approx(w["b"]) and g["ask_slope"] == pytest.approx(w["a"]) and (g["midprice"] or 0) == pytest.approx(w["midprice"] or 0, nan_ok=True)
+    mids = [w["midprice"] for w in batch]
+    due = [i for i in range(5, 90) if mids[i] is not None and mids[i - 5] is not None]
+    hits = sum(((i - 5) * 7919 % 1000 > 500) == (mids[i] > mids[i - 5]) for i in due)
+    assert got[-1]["seen"] == len(due) > 20 and got[-1]["pnl"] == 2 * hits - len(due)
+
+
+def test_trade_messages_of_the_feed(spark):
+    head = lambda k, t: k.encode() + struct.pack(">HHHI", 1, t, 0, 7_000_000)
+    data = head("F", 1) + struct.pack(">QcI8sI4s", 11, b"B", 500, b"TEST    ", 1005000, b"ABCD")
+    data += head("C", 2) + struct.pack(">QIQcI", 11, 20, 1, b"Y", 1004000) + head("P", 3) + struct.pack(">QcI8sIQ", 12, b"S", 30, b"TEST    ", 1006000, 5) + head("Q", 4) + struct.pack(">QI8sQ", 40, 1007000, b"TEST    ", 6)[:25]
+    rows = itch.parse_itch(spark.createDataFrame([("f", bytearray(data))], "instrument string, content binary")).orderBy("n").collect()
+    assert [(r["type"], r["order_id"], r["px"], r["qty"], r["side"]) for r in rows[:3]] == [("Add", 11, 1005000, 500, "Buy"), ("Trade", 11, 1004000, 20, "Buy"), ("Trade", 12, 1006000, 30, "Sell")]
+
+
+def test_order_feed_changes_book_and_trade_side(spark):
+    rows = [(0, "Add", 1010000, 500, 1, 0, "Sell"), (1, "Add", 1000000, 300, 2, 0, "Buy"), (2, "Execute", 0, 200, 1, 0, "Buy"), (3, "Delete", 0, 100, 2, 0, "Buy"), (4, "Replace", 1020000, 50, 1, 3, "Buy"), (5, "Execute", 0, 50, 3, 0, "Buy"), (6, "Delete", 0, 0, 2, 0, "Buy")]
+    got = features.order_features(msgs(spark, rows)).orderBy("pos").collect()
+    assert [(r["best_bid_qty"], r["best_ask"], r["best_ask_qty"]) for r in got] == [(0, 1010000, 500), (300, 1010000, 500), (300, 1010000, 300), (200, 1010000, 300), (200, 1020000, 50), (200, 0, 0), (0, 0, 0)]
+    # The second execute fills its order, which therefore no longer stands and gives no side.
+    assert [r["buy_ratio"] for r in got] == [0, 0, 1, 1, 1, 0.5, 0.5]
+
+
+def test_a_single_instrument_spreads_over_tasks(spark):
+    m = spark.range(60_000).select(F.lit("x").alias("instrument"), F.col("id").alias("pos"), F.col("id").alias("seq"), F.col("id").alias("ts_us"), F.lit("Modify").alias("type"), F.lit(0).cast("bigint").alias("order_id"), F.lit(0).cast("bigint").alias("new_order_id"), (1000000 + F.col("id") % 7).alias("px"), (1 + F.col("id") % 5).alias("qty"), F.lit("Buy").alias("side"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert book.book_states(m, book.l2_levels(m)).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_predictor_in_snapshots(spark, tmp_path):
+    from depthline.operators import models
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        side = rng.choice(["Buy", "Sell"])
+        rows.append((i * 1000, "Modify", 1000000 + (-100 if side == "Buy" else 100) * rng.randint(1, 4), rng.randint(1, 30), 0, 0, side))
+    m = msgs(spark, rows)
+    fitted, _ = models.train(features.all_features(m), "label_1", ("logistic",))
+    fitted["logistic"].write().overwrite().save(str(tmp_path / "model"))
+    for model, bounds in ((models.load(str(tmp_path / "model")), (0, 1)), (models.load_or_none(str(tmp_path / "none")), None)):
+        got = [r["prediction"] for r in sampling.market_snapshots(m, count=50, predict=model).collect()]
+        assert len(got) > 5 and all((p != p) if bounds is None else 0 <= p <= 1 for p in got)
+
+
 def test_models_train_and_score(spark):
     # A test part of one class has no area under the curve: NaN.
     from depthline.operators import models
