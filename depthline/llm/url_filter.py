@@ -124,7 +124,8 @@ def _share_tables(rows: DataFrame) -> tuple[list[float], list[float]]:
 
 
 def _with_shares(rows: DataFrame, tables: tuple[list[float], list[float]]) -> DataFrame:
-    suffix, heads = (F.from_json(F.lit(json.dumps(t)), "array<double>") for t in tables)
+    # Four digits keep the literals, which stand in every plan, small.
+    suffix, heads = (F.from_json(F.lit(json.dumps([round(x, 4) for x in t])), "array<double>") for t in tables)
     mean = F.lit(sum(tables[1]) / BUCKETS)
     shares = rows.withColumn("_shares", F.transform("head_keys", lambda k: F.get(heads, k)))
     of = lambda c: F.when(F.size("_shares") > 0, c).otherwise(mean)
