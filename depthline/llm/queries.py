@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depthline.llm import mixing, multi_index, order_minhash, pii, quality_model, quality_rules, sentence_pieces, template_text, token_blocks, url_filter
+from depthline.llm import mixing, multi_index, order_minhash, pii, prefix_trie, quality_model, quality_rules, sentence_pieces, template_text, token_blocks, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,9 +60,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op2_token_files, op3_html_extraction, op4_url_filter, op5_pii, op6_mixing, op7_quality_rules, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_classifier)
+    for f in (op1_embedding_near_dedup, op2_token_files, op3_html_extraction, op4_url_filter, op5_pii, op6_mixing, op7_quality_rules, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_classifier, op11_conversation_trie)
 }
 
 ORACLES: dict[str, str] = {
@@ -112,5 +116,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR n_symbols * 100 > n_words * 10 OR n_dup_lines * 100 > n_lines * 50
     OR word_chars < n_words * 2.0 OR word_chars > n_words * 12.0 OR upper_share > 0.45) AS kept
 FROM r
+""",
+    "op11_conversation_trie": r"""
+WITH t AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT conv, count(*) AS n FROM t GROUP BY conv),
+plan AS (
+  SELECT conv, n, conv - conv % 5 AS base,
+    xor(list_reduce(list_transform(string_split(CAST(conv AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda a, b: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)),
+      4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+  FROM own
+), cut AS (SELECT p.*, least(h, coalesce(o.n, 0)) AS head FROM plan p LEFT JOIN own o ON o.conv = p.base),
+turns AS (
+  SELECT c.conv, t.i, t.role, t.text FROM cut c JOIN t ON t.conv = c.base AND t.i <= c.head
+  UNION ALL
+  SELECT c.conv, c.head + t.i - c.h, t.role, t.text FROM cut c JOIN t ON t.conv = c.conv AND t.i > c.h
+), path AS (
+  SELECT conv, i AS d, octet_length(encode(text)) AS bytes,
+    md5(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv ORDER BY i)) AS p
+  FROM turns
+  UNION ALL SELECT conv, 0, 0, '' FROM cut
+), ended AS (SELECT conv, max(d) AS size FROM path GROUP BY conv),
+node AS (
+  SELECT d, p, min(conv) AS conv, count(*) AS n, max(size) > d AS inner_node, (count(*) - 1) * max(bytes) AS saved,
+    sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (d = size), '')) AS ends
+  FROM path JOIN ended USING (conv) GROUP BY d, p
+), below AS (
+  SELECT x.d, x.p, sum(CASE WHEN u.inner_node THEN 0 ELSE 1 END) AS leaves, sum(u.saved) AS saved, sum(CASE WHEN u.d = x.d + 1 THEN 1 ELSE 0 END) AS kids
+  FROM node u JOIN path x ON x.conv = u.conv AND x.d <= u.d GROUP BY x.d, x.p
+), up AS (SELECT x.conv, x.d + 1 AS d, n.conv AS parent FROM path x JOIN node n ON n.d = x.d AND n.p = x.p)
+SELECT n.conv AS conv_id, CAST(n.d AS BIGINT) AS depth, up.parent AS parent_conv_id, n.n AS n_convs, CAST(b.kids AS BIGINT) AS n_children,
+  CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM node n JOIN below b ON b.d = n.d AND b.p = n.p LEFT JOIN up ON up.conv = n.conv AND up.d = n.d
 """,
 }
