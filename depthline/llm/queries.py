@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depthline.llm import mixing, multi_index, order_minhash, pii, prefix_trie, quality_model, quality_rules, sentence_pieces, template_text, token_blocks, url_filter
+from depthline.llm import hard_negatives, mixing, multi_index, order_minhash, pii, prefix_trie, quality_model, quality_rules, sentence_pieces, template_text, token_blocks, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,9 +64,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op2_token_files, op3_html_extraction, op4_url_filter, op5_pii, op6_mixing, op7_quality_rules, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_classifier, op11_conversation_trie)
+    for f in (op1_embedding_near_dedup, op2_token_files, op3_html_extraction, op4_url_filter, op5_pii, op6_mixing, op7_quality_rules, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_classifier, op11_conversation_trie, op12_hard_negatives)
 }
 
 ORACLES: dict[str, str] = {
@@ -151,5 +155,24 @@ node AS (
 SELECT n.conv AS conv_id, CAST(n.d AS BIGINT) AS depth, up.parent AS parent_conv_id, n.n AS n_convs, CAST(b.kids AS BIGINT) AS n_children,
   CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
 FROM node n JOIN below b ON b.d = n.d AND b.p = n.p LEFT JOIN up ON up.conv = n.conv AND up.d = n.d
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.u AS au, a.vec_id AS anchor_id, b.u AS bu, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.u <> b.u AND len(a.e) = len(b.e)
+), p AS (
+  SELECT au, anchor_id, bu AS pu, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY au ORDER BY score DESC, other) <= 5
+), n AS (
+  SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.au, p.pu ORDER BY s.score DESC, s.other) AS rank,
+    s.other AS negative_id, p.positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.au = p.au AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """,
 }
