@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depthline.llm import hard_negatives, mixing, multi_index, order_minhash, pii, prefix_trie, quality_model, quality_rules, sentence_pieces, template_text, token_blocks, url_filter
+from depthline.llm import hard_negatives, language_codes, mixing, multi_index, order_minhash, pii, prefix_trie, quality_model, quality_rules, sentence_pieces, template_text, token_blocks, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -68,9 +68,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_codes.language_ids(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op2_token_files, op3_html_extraction, op4_url_filter, op5_pii, op6_mixing, op7_quality_rules, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_classifier, op11_conversation_trie, op12_hard_negatives)
+    for f in (op1_embedding_near_dedup, op2_token_files, op3_html_extraction, op4_url_filter, op5_pii, op6_mixing, op7_quality_rules, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_classifier, op11_conversation_trie, op12_hard_negatives, op13_language_id)
 }
 
 ORACLES: dict[str, str] = {
