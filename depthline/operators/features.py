@@ -1,20 +1,18 @@
-"""Twelve features per message, all as projections and windows per instrument."""
+"""Twelve features per message: projections, windows by level, and running values in pieces of an instrument."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthline.operators.book import book_states, l2_levels, l3_remaining, order_levels, resolve_replacements, resting_sides
+from depthline.operators.carry import expired, numbered, running
 
 SECOND = 1_000_000
 _TWO = "best_bid <> 0 AND best_ask <> 0"
 
 
-def _by_pos() -> Window:
-    return Window.partitionBy("instrument").orderBy("pos")
-
-
 def price_features(df: DataFrame) -> DataFrame:
     """Adds mid, spread, microprice, imbalance (null while a side is empty)."""
     b, a = F.col("best_bid") / 10000.0, F.col("best_ask") / 10000.0
@@ -29,41 +27,87 @@ def price_features(df: DataFrame) -> DataFrame:
     })
 
 
+HELD = ("midprice", "spread", "microprice", "queue_imbalance")
+_SLOPES = ("bid_slope", "ask_slope")
+
+
 def held(df: DataFrame, *columns: str) -> DataFrame:
     """Keeps the last known value while a side is empty; 0 before the first."""
-    w = _by_pos().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0.0)) for c in columns})
+    kept = running(df, lasts={f"_held_{c}": F.col(c) for c in columns})
+    return kept.withColumns({c: F.coalesce(f"_held_{c}", F.lit(0.0)) for c in columns}).drop(*[f"_held_{c}" for c in columns])
 
 
-def volatility(df: DataFrame, mids: int = 10) -> DataFrame:
-    """Adds ``volatility``: sample deviation of the log returns of the last ``mids`` two-sided mids, held while a side is empty.
+def _tail_statistics(mids: int):
+    """From the last mids before a bucket: the last one, and for k = 0, 1, ... the number, mean and squared deviation of the last k returns."""
+
+    def fold(so_far: Column, r: Column) -> Column:
+        n, d = so_far["n"] + 1, r - so_far["mean"]
+        return F.struct(n.alias("n"), (so_far["mean"] + d / n).alias("mean"), (so_far["m2"] + d * d * (so_far["n"] / n)).alias("m2"))
+
+    def made(values: Column) -> Column:
+        newest = F.reverse(values)
+        returns = F.filter(F.transform(newest, lambda m, i: F.ln(m / F.get(newest, i + 1))), lambda r: r.isNotNull())
+        none = F.struct(F.lit(0).cast("double").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+        return F.struct(F.get(newest, F.lit(0)).alias("mid"), F.transform(F.sequence(F.lit(0), F.lit(mids - 1)), lambda k: F.aggregate(F.slice(returns, F.lit(1), k), none, fold)).alias("k"))
+
+    return made
 
-    Two-sided rows are numbered, so the frame is a range of that number and no row is left out or joined back.
+
+def _deviation(rows: DataFrame, mids: int) -> DataFrame:
+    """Adds ``volatility`` to rows with ``_bucket``, ``_tail`` and two-sided ``midprice`` (null otherwise) from windows inside the bucket.
+
+    Counts, means and squared deviations of the returns inside and before the bucket are put together.
     """
     two = F.expr(_TWO)
-    upto = _by_pos().rowsBetween(Window.unboundedPreceding, 0)
-    before = _by_pos().rowsBetween(Window.unboundedPreceding, -1)
-    mid = F.when(two, F.col("midprice"))
-    rows = df.withColumns({"_i": F.count(F.when(two, 1)).over(upto), "_r": F.when(two, F.ln(F.col("midprice") / F.last(mid, ignorenulls=True).over(before)))})
-    w = Window.partitionBy("instrument").orderBy("_i").rangeBetween(-(mids - 2), 0)
-    return rows.withColumn("volatility", F.coalesce(F.when(F.count("_r").over(w) >= 2, F.stddev_samp("_r").over(w)), F.lit(0.0))).drop("_i", "_r")
+    inner = Window.partitionBy("instrument", "_bucket").orderBy("pos")
+    mid = F.when(two, F.col("_mid"))
+    before = F.coalesce(F.last(mid, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("_tail.mid"))
+    rows = rows.withColumns({"_i": F.count(F.when(two, 1)).over(inner.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.when(two, F.ln(F.col("_mid") / before))})
+    w = Window.partitionBy("instrument", "_bucket").orderBy("_i").rangeBetween(-(mids - 2), 0)
+    rows = rows.withColumns({"_rn": F.count("_r").over(w), "_rm": F.coalesce(F.avg("_r").over(w), F.lit(0.0)), "_rv": F.coalesce(F.var_pop("_r").over(w), F.lit(0.0)) * F.count("_r").over(w)})
+    left = F.get(F.col("_tail.k"), F.greatest(F.lit(mids - 1) - F.col("_i"), F.lit(0)).cast("int"))
+    n0 = F.coalesce(left["n"], F.lit(0))
+    n = F.col("_rn") + n0
+    apart = F.col("_rm") - F.coalesce(left["mean"], F.lit(0.0))
+    m2 = F.col("_rv") + F.coalesce(left["m2"], F.lit(0.0)) + apart * apart * F.col("_rn") * n0 / F.greatest(n, F.lit(1))
+    return rows.withColumn("volatility", F.when(n >= 2, F.sqrt(m2 / (n - 1))).otherwise(0.0)).drop("_i", "_r", "_rn", "_rm", "_rv")
+
+
+def _tail(mids: int) -> dict:
+    return {"_tail": (F.when(F.expr(_TWO), F.col("midprice")), mids, _tail_statistics(mids))}
+
+
+def volatility(df: DataFrame, mids: int = 10) -> DataFrame:
+    """Adds ``volatility``: sample deviation of the log returns of the last ``mids`` two-sided mids, held while a side is empty."""
+    rows = running(df.withColumn("_mid", F.col("midprice")), tails=_tail(mids), keep_bucket=True)
+    return _deviation(rows, mids).drop("_mid", "_tail", "_bucket")
 
 
-def recent(condition: Column, window_us: int = SECOND) -> Column:
-    """How many rows so far met the condition within the last ``window_us``, ends included.
+def _recent(rows: DataFrame, counted: DataFrame, hits: dict[str, Column], window_us: int) -> DataFrame:
+    """``counted`` (with running counts of ``hits`` over ``rows``) less what is older than ``window_us``.
 
     Rows that share a time but come later do not count, so this is a difference of two
     running counts rather than a range frame.
     """
-    hit = F.when(condition, 1)
-    upto = _by_pos().rowsBetween(Window.unboundedPreceding, 0)
-    old = Window.partitionBy("instrument").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -(window_us + 1))
-    return F.count(hit).over(upto) - F.count(hit).over(old)
+    old = expired(rows, {f"_old_{n}": c for n, c in hits.items()}, window_us)
+    both = counted.join(old, ["instrument", "ts_us"], "left")
+    return both.withColumns({n: F.col(n) - F.coalesce(f"_old_{n}", F.lit(0)) for n in hits}).drop(*[f"_old_{n}" for n in hits])
 
 
-def rates(messages: DataFrame) -> DataFrame:
-    """Adds ``arrival_rate, cancel_rate, trade_intensity``: events a second."""
-    return messages.withColumns({"arrival_rate": recent(F.col("type") == "Add").cast("double"), "cancel_rate": recent(F.col("type") == "Delete").cast("double"), "trade_intensity": recent(F.col("type").isin("Trade", "Execute")).cast("double")})
+def _ones(hits: dict[str, Column]) -> dict[str, Column]:
+    return {n: F.when(c, 1).otherwise(0).cast("long") for n, c in hits.items()}
+
+
+def _kinds() -> dict[str, Column]:
+    """Events that are counted over the last second."""
+    return {"arrival_rate": F.col("type") == "Add", "cancel_rate": F.col("type") == "Delete", "trade_intensity": F.col("type").isin("Trade", "Execute")}
+
+
+def rates(messages: DataFrame, window_us: int = SECOND) -> DataFrame:
+    """Adds ``arrival_rate, cancel_rate, trade_intensity``: events of the last second so far, ends included."""
+    hits = _kinds()
+    rows = _recent(messages, running(messages, sums=_ones(hits)), hits, window_us)
+    return rows.withColumns({n: F.col(n).cast("double") for n in hits})
 
 
 def ofi_deltas(messages: DataFrame) -> DataFrame:
@@ -77,49 +121,77 @@ def ofi_deltas(messages: DataFrame) -> DataFrame:
 
 def ofi(messages: DataFrame) -> DataFrame:
     """Adds ``ofi``, the running total of ``delta``."""
-    return ofi_deltas(messages).withColumn("ofi", F.sum("delta").over(_by_pos().rowsBetween(Window.unboundedPreceding, 0))).drop("delta")
+    return running(ofi_deltas(messages), sums={"ofi": F.col("delta")}).drop("delta")
 
 
 def ofi_interval(messages: DataFrame, every: int) -> DataFrame:
     """``instrument, bucket, ofi`` summed over captures of ``every`` messages."""
-    rows = ofi_deltas(messages).withColumn("bucket", F.floor((F.row_number().over(_by_pos()) - 1) / every).cast("bigint"))
+    rows = numbered(ofi_deltas(messages)).withColumn("bucket", F.floor((F.col("_n") - 1) / every).cast("bigint"))
     return rows.groupBy("instrument", "bucket").agg(F.sum("delta").alias("ofi"))
 
 
-def buy_ratio(df: DataFrame) -> DataFrame:
-    """Adds ``buy_ratio``; needs the held mid, both best prices and, for orders, ``resting_side``."""
+def _trades(columns: list[str], mid: str = "midprice") -> dict[str, Column]:
+    """Trades and bought trades: by the side of the resting order, or at or over the mid of a two-sided book."""
     trade = F.col("type").isin("Trade", "Execute")
-    by_price = F.expr(_TWO) & (F.col("px") / 10000.0 >= F.col("midprice"))
-    bought = F.when(F.col("order_id") != 0, F.coalesce(F.col("resting_side") == "Sell", F.lit(False))).otherwise(by_price) if "resting_side" in df.columns else by_price
-    trades, buys = recent(trade), recent(trade & bought)
-    rows = df.withColumn("_ratio", F.when(trades > 0, buys / trades))
-    return rows.withColumn("buy_ratio", F.coalesce(F.last("_ratio", ignorenulls=True).over(_by_pos().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).drop("_ratio")
+    by_price = F.coalesce(F.expr(_TWO) & (F.col("px") / 10000.0 >= F.col(mid)), F.lit(False))
+    bought = F.when(F.col("order_id") != 0, F.coalesce(F.col("resting_side") == "Sell", F.lit(False))).otherwise(by_price) if "resting_side" in columns else by_price
+    return {"_trades": trade, "_buys": trade & bought}
+
+
+def _held_ratio(rows: DataFrame, trades: Column) -> DataFrame:
+    """Adds ``buy_ratio`` from recent ``trades`` and ``_buys``, held while there are none."""
+    kept = running(rows, lasts={"buy_ratio": F.when(trades > 0, F.col("_buys") / trades)})
+    return kept.withColumn("buy_ratio", F.coalesce("buy_ratio", F.lit(0.0)))
+
+
+def buy_ratio(df: DataFrame, window_us: int = SECOND) -> DataFrame:
+    """Adds ``buy_ratio``; needs the mid, both best prices and, for orders, ``resting_side``."""
+    hits = _trades(df.columns)
+    rows = _recent(df, running(df, sums=_ones(hits)), hits, window_us)
+    return _held_ratio(rows, F.col("_trades")).drop(*hits)
+
+
+def _states(messages: DataFrame, levels: DataFrame | None, depth: int) -> DataFrame:
+    """Book states with price features, null while a side is empty.
+
+    They are read more than once (by the rows and by the buckets' sums), so Spark keeps them; what does not fit
+    in memory goes to disk, and what a lost executor held is made anew.
+    """
+    rows = price_features(book_states(messages, l2_levels(messages) if levels is None else levels, depth))
+    return rows.withColumns({c: F.when(F.expr(_TWO), F.col(c)) for c in _SLOPES}).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def priced(messages: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """Messages with best prices and the four price features, held while a side is empty."""
-    rows = price_features(book_states(messages, l2_levels(messages) if levels is None else levels, 1))
-    return held(rows, "midprice", "spread", "microprice", "queue_imbalance").drop("bid_levels", "ask_levels", "bid_slope", "ask_slope")
+    return held(_states(messages, levels, 1), *HELD).drop("bid_levels", "ask_levels", *_SLOPES)
+
+
+def _held_rows(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Held prices, slopes and volatility, and running ``sums``, of book states in one pass."""
+    kept = HELD + _SLOPES
+    out = running(rows.withColumn("_mid", F.col("midprice")), sums=sums, lasts={f"_held_{c}": F.col(c) for c in kept}, tails=_tail(10), keep_bucket=True)
+    out = _deviation(out, 10)
+    return out.withColumns({c: F.coalesce(f"_held_{c}", F.lit(0.0)) for c in kept}).drop("bid_levels", "ask_levels", "_mid", "_tail", "_bucket", *[f"_held_{c}" for c in kept])
 
 
 def book_features(messages: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """Messages with best prices, price features, slopes and volatility, held while a side is empty."""
-    two = F.expr(_TWO)
-    rows = price_features(book_states(messages, l2_levels(messages) if levels is None else levels, 5))
-    rows = volatility(rows).withColumns({c: F.when(two, F.col(c)) for c in ("bid_slope", "ask_slope")})
-    return held(rows, "midprice", "spread", "microprice", "queue_imbalance", "bid_slope", "ask_slope").drop("bid_levels", "ask_levels")
+    return _held_rows(_states(messages, levels, 5), {})
 
 
-def all_features(messages: DataFrame) -> DataFrame:
+def all_features(messages: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """All twelve features per level message."""
-    return buy_ratio(ofi(rates(book_features(messages))))
+    states = _states(ofi_deltas(messages), levels if levels is not None else l2_levels(messages), 5)
+    hits = _kinds() | _trades(states.columns)
+    rows = _recent(states, _held_rows(states, {"ofi": F.col("delta"), **_ones(hits)}), hits, SECOND)
+    return _held_ratio(rows, F.col("_trades")).withColumns({n: F.col(n).cast("double") for n in _kinds()}).drop("delta", "_trades", "_buys")
 
 
 def order_features(messages: DataFrame) -> DataFrame:
     """All twelve features per order message: the book is that of the orders, and a trade's side that of the order it meets."""
     remaining = l3_remaining(resolve_replacements(messages))
     rows = messages.join(resting_sides(remaining), ["instrument", "pos"], "left")
-    return buy_ratio(ofi(rates(book_features(rows, order_levels(messages, remaining))))).drop("resting_side")
+    return all_features(rows, order_levels(messages, remaining)).drop("resting_side")
 
 
 def live_features(messages: DataFrame) -> DataFrame:

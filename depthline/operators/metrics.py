@@ -7,15 +7,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depthline.operators.carry import lagged, numbered, running
+
 #: Seconds of a trading year, under the root: what turns a per-second ratio into a yearly one.
 YEARLY = math.sqrt(252 * 6.5 * 3600)
 _RANGES = 1000
 
 
-def _by_pos() -> Window:
-    return Window.partitionBy("instrument").orderBy("pos")
-
-
 def positions(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds ``position``: 1 over the threshold, -1 under its mirror, else 0."""
     return scored.withColumn("position", F.when(F.col("prob") > threshold, 1).when(F.col("prob") < 1 - threshold, -1).otherwise(0))
@@ -23,13 +21,14 @@ def positions(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def turnover(rows: DataFrame) -> DataFrame:
     """Adds ``turnover``: the change of position, the first from 0."""
-    return rows.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(_by_pos()), F.lit(0))))
+    kept = running(rows, previous={"_before": F.col("position")})
+    return kept.withColumn("turnover", F.abs(F.col("position") - F.coalesce("_before", F.lit(0)))).drop("_before")
 
 
 def strategy(rows: DataFrame, cost_bps: float = 0.0) -> DataFrame:
     """Adds ``strategy_ret`` and ``equity`` (the running product of 1 + return)."""
     out = turnover(rows).withColumn("strategy_ret", F.col("position") * F.coalesce("next_return_1", F.lit(0.0)) - F.col("turnover") * F.lit(cost_bps * 1e-4))
-    return out.withColumn("equity", F.product(1 + F.col("strategy_ret")).over(_by_pos().rowsBetween(Window.unboundedPreceding, 0)))
+    return running(out, products={"equity": 1 + F.col("strategy_ret")})
 
 
 def backtest_summary(rows: DataFrame) -> DataFrame:
@@ -50,7 +49,7 @@ def direction_pnl(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds ``reward``: 1 for a right direction, -1 for a wrong one, and its running sum in basis points."""
     side = F.when(F.col("prob") > threshold, 1).otherwise(-1)
     rows = scored.withColumn("reward", F.when((side == 1) == (F.col("y") == 1), 1).otherwise(-1))
-    return rows.withColumn("curve", F.sum("reward").over(_by_pos().rowsBetween(Window.unboundedPreceding, 0)) * F.lit(1e-4))
+    return running(rows, sums={"curve": F.col("reward").cast("long")}).withColumn("curve", F.col("curve") * F.lit(1e-4))
 
 
 def evaluation(scored: DataFrame, *by: str, threshold: float = 0.5) -> DataFrame:
@@ -62,11 +61,9 @@ def evaluation(scored: DataFrame, *by: str, threshold: float = 0.5) -> DataFrame
 
 def live_accuracy(rows: DataFrame, lag: int = 5) -> DataFrame:
     """Delayed scoring: each row scores the prediction made ``lag`` rows before against the mid's move since."""
-    w = _by_pos()
-    out = rows.withColumns({"old_prob": F.lag("prob", lag).over(w), "old_mid": F.lag("midprice", lag).over(w)}).where("old_prob IS NOT NULL")
+    out = lagged(numbered(rows), {"old_prob": "prob", "old_mid": "midprice"}, lag).drop("_n").where("old_prob IS NOT NULL")
     right = ((F.col("old_prob") > 0.5) == (F.col("midprice") > F.col("old_mid"))).cast("bigint")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("right", right).withColumns({"seen": F.count(F.lit(1)).over(run), "hits": F.sum("right").over(run)})
+    out = running(out.withColumn("right", right), sums={"seen": F.lit(1).cast("bigint"), "hits": F.col("right")})
     return out.withColumns({"accuracy": F.col("hits") / F.col("seen"), "pnl": 2 * F.col("hits") - F.col("seen")})
 
 

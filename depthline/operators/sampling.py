@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depthline.operators.carry import numbered
 from depthline.operators.features import all_features, order_features
 from depthline.schema import SNAPSHOT
 
@@ -14,38 +15,94 @@ from depthline.schema import SNAPSHOT
 TICK = 100
 
 
+#: Rows of a block of the sampler, and how many count limits it holds at least.
+BLOCK, LIMITS = 16_384, 16
+
+
+def successors(ts: np.ndarray, time_us: int, count: int) -> np.ndarray:
+    """Where the sampler emits next after an emission at each row; ``len(ts)`` where not among these rows.
+
+    The earlier of the ``count``-th row and the first later one at least ``time_us`` on, which is found by skipping
+    stretches of 2 ** k rows that lie wholly before it; times need not rise.
+    """
+    n = len(ts)
+    tables = [ts]
+    while 2 ** len(tables) <= min(n, count):
+        half = 2 ** (len(tables) - 1)
+        tables.append(np.maximum(tables[-1][:-half], tables[-1][half:]))
+    due, at = ts + time_us, np.arange(1, n + 1)
+    for k in range(len(tables) - 1, -1, -1):
+        table = tables[k]
+        # Stretches of one size may follow one another only at the top, where they reach the count limit.
+        for _ in range(2 if k == len(tables) - 1 else 1):
+            fits = at < len(table)
+            early = np.zeros(n, bool)
+            early[fits] = table[at[fits]] < due[fits]
+            at = at + (early << k)
+    return np.minimum(np.minimum(at, np.arange(n) + count), n)
+
+
+def _last_inside(after: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The last emission in rows ``lo`` to ``hi`` of the chain that begins at each of them, by doubling."""
+    jump = np.where(after[lo:hi] < hi, after[lo:hi] - lo, np.arange(hi - lo))
+    while True:
+        twice = jump[jump]
+        if (twice == jump).all():
+            return jump + lo
+        jump = twice
+
+
 def sample_positions(messages: DataFrame, time_us: int = 100_000, count: int = 1000) -> DataFrame:
     """``instrument, pos`` of emitted rows: the first, then when enough time or rows have passed since the last.
 
-    The next emission depends on the last one, so each instrument is one ordered scan.
-    Rows stream through in batches; only the last emission is remembered.
+    Where an emission is followed by the next depends on that emission alone, so rows form chains.  An
+    instrument is cut into blocks that no chain can jump over.  From a block and its neighbours follow all
+    places where a chain may enter it and, for each, where it then enters the next block; chains that meet
+    stay together, so these are few.  Only those pairs are followed through an instrument in order; the true
+    chain's rows are then marked in each block by itself.
     """
-
-    def run(batches):
-        state: dict[str, tuple[int, int]] = {}
+    size = max(BLOCK, LIMITS * count)
+    rows = numbered(messages.select("instrument", "pos", "ts_us")).withColumn("_n", F.col("_n") - 1).withColumn("block", F.expr(f"_n div {size}"))
+
+    def enter(key, part: pd.DataFrame) -> pd.DataFrame:
+        g = int(key[1])
+        part = part.sort_values("_n")
+        first, ts, block = int(part["_n"].iloc[0]), part["ts_us"].to_numpy(np.int64), part["block"].to_numpy()
+        lo, hi = np.searchsorted(block, [g, g + 1])
+        after = successors(ts, time_us, count)
+        entries = np.zeros(1, np.int64) if g == 0 else np.unique(after[_last_inside(after, 0, lo)])
+        entries = entries[(entries >= lo) & (entries < hi)]
+        follow = after[_last_inside(after, lo, hi)[entries - lo]] if len(entries) else entries
+        return pd.DataFrame({"instrument": key[0], "block": g, "entry": entries + first, "follow": np.where(follow < len(ts), follow + first, -1)})
+
+    def chain(batches):
+        name, now = None, 0
         for batch in batches:
             keep = []
-            for name, part in batch.groupby("instrument", sort=False):
-                pos, ts = part["pos"].to_numpy(), part["ts_us"].to_numpy()
-                i = 0
-                if name in state:
-                    last, since = state[name]
-                else:
-                    keep.append((name, pos[0]))
-                    last, since, i = int(ts[0]), 0, 1
-                while i < len(ts):
-                    hit = i + int(np.argmax(np.concatenate((ts[i : i + count] >= last + time_us, [True]))))
-                    hit = min(hit, i + count - since - 1)
-                    if hit >= len(ts):
-                        since += len(ts) - i
-                        break
-                    keep.append((name, pos[hit]))
-                    last, since, i = int(ts[hit]), 0, hit + 1
-                state[name] = (last, since)
-            yield pd.DataFrame(keep, columns=["instrument", "pos"])
-
-    ordered = messages.select("instrument", "pos", "ts_us").repartition("instrument").sortWithinPartitions("instrument", "pos")
-    return ordered.mapInPandas(run, "instrument string, pos bigint")
+            for instrument, block, entry, follow in batch.itertuples(index=False):
+                if instrument != name:
+                    name, now = instrument, 0
+                if entry == now:
+                    keep.append((instrument, block, entry))
+                    now = follow
+            yield pd.DataFrame(keep, columns=["instrument", "block", "entry"])
+
+    def mark(part: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        if len(part) and len(entered):
+            part = part.sort_values("_n")
+            after = successors(part["ts_us"].to_numpy(np.int64), time_us, count).tolist()
+            at = int(entered["_entry"].iloc[0]) - int(part["_n"].iloc[0])
+            while at < len(after):
+                keep.append(at)
+                at = after[at]
+        return part.iloc[keep][["instrument", "pos"]]
+
+    near = rows.withColumn("_group", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)]))).where("_group >= 0")
+    pairs = near.groupBy("instrument", "_group").applyInPandas(enter, "instrument string, block long, entry long, follow long")
+    chained = pairs.repartition("instrument").sortWithinPartitions("instrument", "entry").mapInPandas(chain, "instrument string, block long, entry long")
+    chained = chained.select(F.col("instrument").alias("_i"), F.col("block").alias("_b"), F.col("entry").alias("_entry"))
+    return rows.groupBy("instrument", "block").cogroup(chained.groupBy("_i", "_b")).applyInPandas(mark, "instrument string, pos bigint")
 
 
 def market_snapshots(messages: DataFrame, time_us: int = 100_000, count: int = 1000, predict=None, by_order: bool = False) -> DataFrame:
@@ -67,8 +124,7 @@ def market_snapshots(messages: DataFrame, time_us: int = 100_000, count: int = 1
 
 def every_k(messages: DataFrame, k: int) -> DataFrame:
     """The first row of each instrument and every ``k``-th after it."""
-    w = Window.partitionBy("instrument").orderBy("pos")
-    return messages.withColumn("_n", F.row_number().over(w)).where((F.col("_n") - 1) % k == 0).drop("_n")
+    return numbered(messages).where((F.col("_n") - 1) % k == 0).drop("_n")
 
 
 def add_labels(rows: DataFrame, horizons: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
