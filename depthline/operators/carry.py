@@ -21,6 +21,11 @@ def bucket_of(order: str = "pos", size: int | None = None) -> Column:
     return F.expr(f"`{order}` div {size or BUCKET}")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running(
     rows: DataFrame,
     sums: Mapping[str, Column] = {},
@@ -51,7 +56,7 @@ def running(
         + [F.product(c).alias(f"_p_{n}") for n, c in products.items()]
         + [F.max_by(c, kept(c)).alias(f"_l_{n}") for n, c in lasts.items()]
         + [F.max_by(boxed(c), place).alias(f"_b_{n}") for n, c in previous.items()]
-        + [F.slice(F.reverse(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(place.alias("at"), c.alias("v")))))), 1, k).alias(f"_t_{n}") for n, (c, k, _) in tails.items()]
+        + [F.slice(F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(place.alias("at"), c.alias("v")))), asc=False), 1, k).alias(f"_t_{n}") for n, (c, k, _) in tails.items()]
     )
     totals = rows.groupBy(by, "_bucket").agg(*whole)
     before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,8 +68,8 @@ def running(
         totals = totals.withColumn(f"_n_{n}", F.coalesce(F.sum((F.size(f"_t_{n}") > 0).cast("int")).over(before), F.lit(0)))
         earlier = Window.partitionBy(by).orderBy(f"_n_{n}").rangeBetween(-k, -1)
         values = F.flatten(F.collect_list(f"_t_{n}").over(earlier))
-        newest = F.slice(F.reverse(F.array_sort(values)), 1, k)
-        carried.append(made(F.reverse(F.transform(newest, lambda x: x["v"]))).alias(n))
+        newest = F.transform(F.slice(F.sort_array(values, asc=False), 1, k), lambda x: x["v"])
+        carried.append(let(F.reverse(newest), made).alias(n))
     prefix = totals.select(by, "_bucket", *carried)
     zero = lambda c: F.coalesce(c, F.lit(0))
     local = rows.withColumns(

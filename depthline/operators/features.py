@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthline.operators.book import book_states, l2_levels, l3_remaining, order_levels, resolve_replacements, resting_sides
-from depthline.operators.carry import expired, numbered, running
+from depthline.operators.carry import expired, let, numbered, running
 
 SECOND = 1_000_000
 _TWO = "best_bid <> 0 AND best_ask <> 0"
@@ -45,10 +45,10 @@ def _tail_statistics(mids: int):
         return F.struct(n.alias("n"), (so_far["mean"] + d / n).alias("mean"), (so_far["m2"] + d * d * (so_far["n"] / n)).alias("m2"))
 
     def made(values: Column) -> Column:
-        newest = F.reverse(values)
-        returns = F.filter(F.transform(newest, lambda m, i: F.ln(m / F.get(newest, i + 1))), lambda r: r.isNotNull())
         none = F.struct(F.lit(0).cast("double").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-        return F.struct(F.get(newest, F.lit(0)).alias("mid"), F.transform(F.sequence(F.lit(0), F.lit(mids - 1)), lambda k: F.aggregate(F.slice(returns, F.lit(1), k), none, fold)).alias("k"))
+        last = F.sequence(F.greatest(F.size(values) - 1, F.lit(1)), F.lit(1), F.lit(-1))
+        returns = F.filter(F.transform(last, lambda i: F.ln(F.get(values, i) / F.get(values, i - 1))), lambda r: r.isNotNull())
+        return F.struct(F.try_element_at(values, F.lit(-1)).alias("mid"), let(returns, lambda r: F.transform(F.sequence(F.lit(0), F.lit(mids - 1)), lambda k: F.aggregate(F.slice(r, F.lit(1), k), none, fold))).alias("k"))
 
     return made
 
