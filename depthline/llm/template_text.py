@@ -8,25 +8,31 @@ pages of a 64-bit hash of (page, count), so pages that come more than once count
 as they come.  The sum is kept in two halves that cannot overflow.  So classes come from one
 aggregation with partial sums and no host's pages ever meet in one task.
 
-Classes that occur on at least ``support`` of the host's pages are valid; their tags, nested by
-their paths, are the template, and what stands in its containers and is not template itself
-are the slots.  Three things follow for the whole host:
+Classes that occur on at least ``support`` of the host's pages are valid.  Their tags are ordered by
+where they first stand and nested by the containers around them: a class lies in the slot of
+the nearest tag of another class that encloses it, and tokens of one class under different
+tags are roles of their own.  What stands in a tag and is no template itself fills its slot.
+The template decides for the whole host:
 
 * runs of words in the class of the page's root, that is on every page equally often, are
-  template and no text (only where the host has ``LEAST_PAGES`` different pages or more);
+  template; containers that hold no other words are boilerplate unless they lie in the main
+  slot (for hosts with ``least_pages`` different pages or more, as on fewer all text is constant);
 * containers whose text is mostly links are menus;
-* the main slot is the deepest container that still holds ``MAIN_SHARE`` of the plain text
-  outside menus and named boilerplate; an article or main element that holds ``NAMED_SHARE`` of
-  it goes first.
+* the main slot is found from the root inwards: into the nested tag that holds ``MAIN_SHARE`` of the
+  varying plain text, as long as it occurs once a page (a class that repeats, such as the
+  items of a list, fills the slot it lies in), then outwards again while the container around
+  it holds only varying text besides, or is an article or main element.
 
-Slots that vary like the article does (adverts, comments, notices) cannot be told by vectors;
-for those alone the names decide: a class or id all of whose parts are listed and at least
-one of which marks boilerplate.  Pages are read again with their host's template.
+Nothing in the main slot is dropped as template, whatever repeats there.  Slots that vary like
+the article does (adverts, comments, notices) cannot be told by vectors; for those alone the
+names decide: a class or id all of whose parts are listed and at least one of which marks
+boilerplate.  Pages are read again with their host's template.
 
 Defined results: null html counts as empty and has no text; pages without a host use a
-template of their own; a page that lacks its template's main slot gives the text of its
-body outside boilerplate; a tag cut off at the end of a page is markup; repeated rows each get
-their own result; an empty table gives an empty table; pages are read whole, however long.
+template of their own; a page that lacks its template's main slot gives the text of its article or main
+element, or else of its body outside boilerplate; a tag that is never closed is markup to the page's end; once
+quotes in a tag do not pair up, tags of that page end at the next ``>``; containers more than ``DEPTH``
+levels deep count for the one at that depth; repeated rows each get their own result; an empty table gives an empty table; pages are read whole, however long.
 Only ``page_id``, ``url`` and ``html`` are read, so other columns may have any name.
 """
 
@@ -35,6 +41,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import pandas as pd
@@ -58,12 +65,13 @@ SKIP_NAMES = frozenset(
 NEUTRAL_NAMES = frozenset("site page main top bottom left right box list wrap wrapper container block section area post posts bar link links form inner outer item items unit slot text global content body primary secondary floating fixed sticky mobile desktop button buttons icon icons group row col field header head foot title label message msg".split())
 OUTSIDE_NAMES = frozenset("header masthead topbar".split())
 MAIN_TAGS = frozenset(("article", "main"))
-#: Different pages a host needs before text of its template is left out.
-LEAST_PAGES = 5
 MAIN_SHARE, NAMED_SHARE, LINK_SHARE = 0.6, 0.3, 0.6
+#: Levels of containers that are told apart.
+DEPTH = 64
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?=/?[A-Za-z])[^<>]*$", re.S)
-_ATTR = re.compile(r"""([A-Za-z][\w:-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_LETTER = re.compile(r"/?[A-Za-z]")
+_PLAIN = re.compile(r"[^>\"']*")
+_ATTR = re.compile(r"""([A-Za-z][\w:-]*)\s*(?:=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>]+)))?""")
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -72,17 +80,53 @@ def _attributes(tag: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(tag, _NAME.match(tag).end())}
 
 
+class _Scanner:
+    """Finds where markup ends; every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+
+    def _to(self, text: str, at: int) -> int:
+        found = self.page.find(text, at)
+        return len(self.page) if found < 0 else found + len(text)
+
+    def end(self, at: int) -> int | None:
+        """The place behind the markup that begins at a ``<``; None where it is text."""
+        page = self.page
+        if page.startswith("<!--", at):
+            return self._to("-->", at + 4)
+        if page.startswith("<![CDATA[", at):
+            return self._to("]]>", at + 9)
+        if page.startswith(("<!", "<?"), at):
+            return self._to(">", at)
+        if not _LETTER.match(page, at + 1):
+            return None
+        now = at + 1
+        while self.quoted:
+            now = _PLAIN.match(page, now).end()
+            if now < len(page) and page[now] == ">":
+                return now + 1
+            close = page.find(page[now], now + 1) if now < len(page) else -1
+            # Quotes that do not pair up are not trusted on the rest of the page.
+            self.quoted = close >= 0
+            now = close + 1
+        return self._to(">", at)
+
+
 def events(page: str):
     """``("open", name, attributes)``, ``("close", name, None)`` and ``("text", text, None)`` of a page."""
-    at, n = 0, len(page)
+    at, n, scanner, text = 0, len(page), _Scanner(page), 0
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            yield "text", page[at:], None
-            return
-        if m.start() > at:
-            yield "text", page[at : m.start()], None
-        at, tag = m.end(), m[0]
+        start = page.find("<", at)
+        stop = None if start < 0 else scanner.end(start)
+        if start < 0:
+            break
+        if stop is None:
+            at = start + 1
+            continue
+        if start > text:
+            yield "text", page[text:start], None
+        tag, at, text = page[start:stop], stop, stop
         named = _NAME.match(tag)
         if not named or not tag.endswith(">"):
             continue
@@ -94,7 +138,9 @@ def events(page: str):
         if name in RAW and not tag.endswith("/>"):
             end = re.compile(f"</{name}\\s*>", re.I).search(page, at)
             yield "close", name, None
-            at = end.end() if end else n
+            at = text = end.end() if end else n
+    if text < n:
+        yield "text", page[text:], None
 
 
 def _mark(name: str, attributes: dict[str, str]) -> str:
@@ -129,26 +175,30 @@ class _Walk:
     """The open containers while a page is read; a close tag ends what is open inside its element."""
 
     def __init__(self):
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        #: Name, path, whether it is skipped, whether it lies in an article or the main slot, whether in the main slot.
+        self.stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+        self.opened: dict[str, int] = defaultdict(int)
 
     @property
     def top(self):
         return self.stack[-1]
 
     def open(self, name: str, attributes: dict[str, str], skips=frozenset(), main=None) -> str:
-        _, path, skip, inside = self.top
-        here = f"{path}/{_mark(name, attributes)}"
+        _, path, skip, inside, slot = self.top
+        here = f"{path}/{_mark(name, attributes)}" if len(self.stack) <= DEPTH else path
         if name in CONTAINERS or name in SKIP_TAGS and name not in VOID:
-            inside = inside or name in MAIN_TAGS or here == main
-            self.stack.append((name, here, skip or _boiler(name, attributes, inside) or (here in skips and not inside), inside))
+            slot = slot or here == main
+            inside = inside or slot or name in MAIN_TAGS
+            self.stack.append((name, here, skip or _boiler(name, attributes, inside) or (here in skips and not inside), inside, slot))
+            self.opened[name] += 1
         return here
 
     def close(self, name: str) -> None:
-        if name in CONTAINERS or name in SKIP_TAGS:
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k][0] == name:
-                    del self.stack[k:]
-                    return
+        while self.opened[name]:
+            last = self.stack.pop()[0]
+            self.opened[last] -= 1
+            if last == name:
+                return
 
 
 def run_token(path: str, run: str) -> int | None:
@@ -157,19 +207,21 @@ def run_token(path: str, run: str) -> int | None:
     return int.from_bytes(blake2b(f"{path}\0{' '.join(words)}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if words else None
 
 
-def page_tokens(page: str) -> tuple[dict[str, int], dict[int, int], dict[str, list[int]]]:
-    """Of one page: counts of tag tokens and of run tokens, and by container its plain and linked characters and whether it is named boilerplate."""
-    walk, tags, runs, held, links = _Walk(), defaultdict(int), defaultdict(int), {}, 0
-    for kind, name, attributes in events(page):
+def page_tokens(page: str) -> tuple[dict[str, list[int]], dict[tuple[str, int], list[int]], dict[str, list[int]]]:
+    """Of one page: by tag token its count and first place, by path and run its count and plain characters, and by container its plain and linked characters and whether it is named boilerplate."""
+    walk, tags, runs, held, links = _Walk(), {}, {}, {}, 0
+    for at, (kind, name, attributes) in enumerate(events(page)):
         if kind == "text":
-            _, path, skip, _ = walk.top
+            _, path, skip, *_ = walk.top
             token = run_token(path, name)
             if token is not None:
-                runs[token] += 1
+                run = runs.setdefault((path, token), [0, 0])
+                run[0] += 1
+                run[1] += 0 if links else len(name)
                 held.setdefault(path, [0, 0, int(skip)])[1 if links else 0] += len(name)
         elif kind == "open":
-            tags[walk.open(name, attributes)] += 1
-            _, path, skip, _ = walk.top
+            tags.setdefault(walk.open(name, attributes), [0, at])[0] += 1
+            _, path, skip, *_ = walk.top
             held.setdefault(path, [0, 0, int(skip)])
             links += name == "a"
         else:
@@ -178,54 +230,127 @@ def page_tokens(page: str) -> tuple[dict[str, int], dict[int, int], dict[str, li
     return tags, runs, held
 
 
-def main_slot(held: list[tuple[str, int, int, bool]]) -> tuple[str | None, list[str]]:
-    """The main slot and the menus among a template's containers ``(path, plain, linked, boiler)``.
+@dataclass
+class Tag:
+    """A valid tag token of a host: its path, occurrence vector, and what its pages hold in it."""
+
+    path: str
+    vector: tuple[int, int]
+    pages: int
+    count: int
+    place: float
+    plain: int = 0
+    linked: int = 0
+    constant: int = 0
+    boiler: bool = False
+
+    @property
+    def tag(self) -> str:
+        return self.path.rsplit("/", 1)[-1].split(".")[0]
 
-    The text of a container counts for all containers around it.
+
+class Template:
+    """The nested equivalence classes of a host.
+
+    ``around`` gives the nearest valid tag that encloses each one, ``role`` the class it belongs to there: the outermost
+    tag, in order of place, of those with its vector that hang together.
     """
-    menus = [p for p, plain, linked, _ in held if linked and linked >= LINK_SHARE * (linked + plain) and p.rsplit("/", 1)[-1].split(".")[0] not in MAIN_TAGS]
-    closed = set(menus)
-    under: dict[str, int] = defaultdict(int)
-    for path, plain, _, boiler in held:
-        if boiler or not plain or path in closed:
-            continue
-        steps = path.split("/")
-        for k in range(2, len(steps) + 1):
-            under["/".join(steps[:k])] += plain
-    total = max(under.values(), default=0)
-    known = {p for p, *_ in held}
-    tag = lambda p: p.rsplit("/", 1)[-1].split(".")[0]
-    depth = lambda p: p.count("/")
-    named = [p for p, n in under.items() if p in known and tag(p) in MAIN_TAGS and n >= NAMED_SHARE * total]
-    if named:
-        return min(named, key=lambda p: (depth(p), -under[p], p)), menus
-    large = [p for p, n in under.items() if p in known and tag(p) in CONTAINERS and tag(p) not in ("html", "body") and n >= MAIN_SHARE * total]
-    return (min(large, key=lambda p: (-depth(p), -under[p], p)) if large else None), menus
-
-
-def extract(page: str, main: str | None, skips=frozenset(), constant=frozenset()) -> str:
-    """The text of a page's main slot less template text; without a main slot, of its body outside boilerplate."""
-    walk, inside, outside = _Walk(), [], []
-    found = False
+
+    def __init__(self, tags: list[Tag]):
+        self.tags = {t.path: t for t in sorted(tags, key=lambda t: (t.place, t.path.count("/"), t.path))}
+        self.around: dict[str, str | None] = {}
+        for path in self.tags:
+            up = path
+            while up:
+                up = up.rpartition("/")[0]
+                if up in self.tags:
+                    break
+            self.around[path] = up or None
+        self.role: dict[str, str] = {}
+        first: dict[tuple, str] = {}
+        for path in sorted(self.tags, key=lambda p: p.count("/")):
+            t, up = self.tags[path], self.around[path]
+            if up is not None and self.tags[up].vector == t.vector:
+                self.role[path] = self.role[up]
+            else:
+                self.role[path] = first.setdefault((t.vector, up), path)
+
+    def classes(self) -> dict[str, tuple[str | None, list[str]]]:
+        """By role: the tag whose slot the class lies in, and its tags in order of place."""
+        out: dict[str, tuple[str | None, list[str]]] = {}
+        for path in self.tags:
+            out.setdefault(self.role[path], (self.around[self.role[path]], []))[1].append(path)
+        return out
+
+    def within(self, weight) -> dict[str, int]:
+        """``weight`` of every tag with all that it encloses."""
+        out = {p: weight(t) for p, t in self.tags.items()}
+        for path in sorted(self.tags, key=lambda p: -p.count("/")):
+            up = self.around[path]
+            if up is not None:
+                out[up] += out[path]
+        return out
+
+    def menus(self) -> list[str]:
+        return [p for p, t in self.tags.items() if t.linked and t.linked >= LINK_SHARE * (t.linked + t.plain) and t.tag not in MAIN_TAGS]
+
+    def main_slot(self) -> str | None:
+        """The path of the tag whose slot holds the article."""
+        closed = set(self.menus())
+        open_ = lambda t: not t.boiler and t.path not in closed
+        varying = self.within(lambda t: t.plain - t.constant if open_(t) else 0)
+        constant = self.within(lambda t: t.constant if open_(t) else 0)
+        total = max((varying[p] for p in varying if self.around[p] is None), default=0)
+        if total <= 0:
+            varying, constant = self.within(lambda t: t.plain if open_(t) else 0), dict.fromkeys(self.tags, 0)
+            total = max((varying[p] for p in varying if self.around[p] is None), default=0)
+        inner: dict[str | None, list[str]] = defaultdict(list)
+        for path, up in self.around.items():
+            inner[up].append(path)
+        at, best = None, None
+        while total > 0:
+            best = max((p for p in inner[at] if self.tags[p].tag in CONTAINERS), key=lambda p: (varying[p], p), default=None)
+            if best is None or varying[best] < MAIN_SHARE * total or self.tags[best].count > self.tags[best].pages:
+                break
+            at = best
+        outer = lambda p: p is None or self.tags[p].tag in ("html", "body")
+        if outer(at):
+            named = [p for p, t in self.tags.items() if t.tag in MAIN_TAGS and total > 0 and varying[p] >= NAMED_SHARE * total]
+            return min(named, key=lambda p: (p.count("/"), -varying[p], p), default=None)
+        around = at
+        while not outer(around):
+            up = self.around[around]
+            if self.tags[around].tag in MAIN_TAGS or (around != at and constant[around] == constant[at] and varying[around] > varying[at]):
+                at = around
+            around = up
+        return at
+
+    def boilerplate(self) -> list[str]:
+        """Containers whose words are all template."""
+        plain, constant = self.within(lambda t: t.plain + t.linked), self.within(lambda t: t.constant)
+        return [p for p, t in self.tags.items() if t.tag in CONTAINERS and 0 < plain[p] == constant[p]]
+
+
+def extract(page: str, main: str | None, skips=frozenset()) -> str:
+    """The text of a page's main slot; without one, of its article or main element, or else of its body outside boilerplate."""
+    walk, parts = _Walk(), ([], [], [])
+    slot = article = False
     for kind, name, attributes in events(page):
         if kind == "text":
-            _, path, skip, within = walk.top
+            _, _, skip, inside, within = walk.top
             if not skip:
-                if constant and run_token(path, name) in constant:
-                    name = " "
-                (inside if within else outside).append(name)
-        elif kind == "open":
+                parts[0 if within else 1 if inside else 2].append(name)
+            continue
+        if kind == "open":
             walk.open(name, attributes, skips, main)
-            found = found or (walk.top[3] and not walk.top[2])
-            if name not in INLINE:
-                inside.append(" ")
-                outside.append(" ")
+            _, _, skip, inside, within = walk.top
+            slot, article = slot or (within and not skip), article or (inside and not skip)
         else:
             walk.close(name)
-            if name not in INLINE:
-                inside.append(" ")
-                outside.append(" ")
-    return " ".join(html.unescape("".join(inside if found else outside)).split())
+        if name not in INLINE:
+            for part in parts:
+                part.append(" ")
+    return " ".join(html.unescape("".join(parts[0 if slot else 1 if article else 2])).split())
 
 
 def host_of(url: str | None) -> str:
@@ -240,34 +365,34 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", url.alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"), F.when(F.coalesce(host, F.lit("")) == "", own).otherwise(host).alias("host"))
 
 
-_COUNTED = "host string, path string, run long, low long, high long, pages long, plain long, linked long, boiler boolean"
+_COUNTED = "host string, path string, run long, low long, high long, pages long, count long, place long, plain long, linked long, boiler boolean"
 
 
 def _count(batches):
-    """Partial sums by host and token: a tag's path, a run's hash, or the digest of a page (path ``=``)."""
-    sums: dict[tuple[str, str | None, int | None], list[int]] = {}
+    """Partial sums by host and token: a tag's path, a run's path and hash, or the digest of a page (path ``=``)."""
+    sums: dict[tuple[str, str, int | None], list[int]] = {}
 
     def rows():
         host, path, run = zip(*sums)
-        low, high, pages, plain, linked, boiler = zip(*sums.values())
+        low, high, pages, count, place, plain, linked, boiler = zip(*sums.values())
         # Hashes fill 64 bits, so a column that also holds nulls must not pass through floats.
-        return pd.DataFrame({"host": host, "path": path, "run": pd.array(run, "Int64"), "low": low, "high": high, "pages": pages, "plain": plain, "linked": linked, "boiler": [b > 0 for b in boiler]})
+        return pd.DataFrame({"host": host, "path": path, "run": pd.array(run, "Int64"), "low": low, "high": high, "pages": pages, "count": count, "place": place, "plain": plain, "linked": linked, "boiler": [b > 0 for b in boiler]})
 
     for batch in batches:
         for host, page in zip(batch["host"], batch["html"]):
             tags, runs, held = page_tokens(page)
             own = int.from_bytes(blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            marks = {n: scramble(own ^ scramble(n)) for n in {1, *tags.values(), *runs.values()}}
-            for key, n in [(("", None), 1), (("=", own - (1 << 63)), 1), *(((p, None), n) for p, n in tags.items()), *(((None, r), n) for r, n in runs.items())]:
-                s = sums.setdefault((host, *key), [0, 0, 0, 0, 0, 0])
-                s[0] += marks[n] & 0xFFFFFFFF
-                s[1] += marks[n] >> 32
-                s[2] += 1
+            marks = {n: scramble(own ^ scramble(n)) for n in {1, *(n for n, _ in tags.values()), *(n for n, _ in runs.values())}}
+            found = [("", None, 1, 0, 0), ("=", own - (1 << 63), 1, 0, 0), *((p, None, n, at, 0) for p, (n, at) in tags.items()), *((p, r, n, 0, plain) for (p, r), (n, plain) in runs.items())]
+            for path, run, n, place, plain in found:
+                s = sums.setdefault((host, path, run), [0] * 8)
+                for i, x in enumerate((marks[n] & 0xFFFFFFFF, marks[n] >> 32, 1, n, place, plain)):
+                    s[i] += x
             for path, (plain, linked, boiler) in held.items():
-                s = sums.setdefault((host, path, None), [0, 0, 0, 0, 0, 0])
-                s[3] += plain
-                s[4] += linked
-                s[5] += boiler
+                s = sums.setdefault((host, path, None), [0] * 8)
+                s[5] += plain
+                s[6] += linked
+                s[7] += boiler
         if len(sums) > 50_000:
             yield rows()
             sums.clear()
@@ -275,35 +400,33 @@ def _count(batches):
         yield rows()
 
 
-def deduce_templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
-    """``host, main, skips, constant``: a row per host with its main slot, its menus and its template's runs of words.
+def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 5) -> DataFrame:
+    """``host, main, skips``: a row per host with its main slot, and its menus and containers of template text.
 
     What a host's row lists occurs on at least ``support`` of its pages, so its length is
     bounded by that of a page, whatever the number of pages.
     """
     counted = pages.select("host", "html").mapInPandas(_count, _COUNTED)
-    keys = ["host", "path", "run"]
-    sums = [F.sum(c).alias(c) for c in ("low", "high", "pages", "plain", "linked")]
-    tokens = counted.groupBy(*keys).agg(*sums, F.max("boiler").alias("boiler"))
-    hosts = F.col("path") == ""
-    # Most runs stand on one page alone; they can be template only where that is all the host has.
-    tokens = stored(tokens.where(F.col("path").isNotNull() | (F.col("pages") > 1)), "page-tokens")
-    root = tokens.where(hosts).select("host", F.col("low").alias("l0"), F.col("high").alias("h0"), F.col("pages").alias("all"))
+    sums = [F.sum(c).alias(c) for c in ("low", "high", "pages", "count", "place", "plain", "linked")]
+    tokens = counted.groupBy("host", "path", "run").agg(*sums, F.max("boiler").alias("boiler"))
+    # Runs that stand on one page alone are template only where that is all the host has.
+    tokens = stored(tokens.where(F.col("run").isNull() | (F.col("path") == "=") | (F.col("pages") > 1)), "page-tokens")
+    root = tokens.where("path = '' AND run IS NULL").select("host", F.col("low").alias("l0"), F.col("high").alias("h0"), F.col("pages").alias("all"))
     different = tokens.where("path = '='").groupBy("host").agg(F.count(F.lit(1)).alias("different"))
-    valid = tokens.where("path IS NULL OR path NOT IN ('', '=')").join(root, "host").where(F.col("pages") >= F.col("all") * support)
     on_all = (F.col("low") == F.col("l0")) & (F.col("high") == F.col("h0"))
-    lists = valid.groupBy("host").agg(
-        F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "plain", "linked", "boiler"))).alias("held"),
-        F.collect_list(F.when(F.col("path").isNull() & on_all, F.col("run"))).alias("constant"),
-    )
-    lists = lists.join(different, "host").select("host", "held", F.when(F.col("different") >= LEAST_PAGES, F.col("constant")).otherwise(F.array().cast("array<long>")).alias("constant"))
+    fixed = tokens.where("run IS NOT NULL AND path <> '='").join(root, "host").where(on_all).groupBy("host", "path").agg(F.sum("plain").alias("constant"))
+    fixed = fixed.join(different, "host").where(F.col("different") >= max(least_pages, 2)).select("host", "path", "constant")
+    valid = tokens.where("run IS NULL AND path <> ''").join(root, "host").where(F.col("pages") >= F.col("all") * support)
+    valid = valid.join(fixed, ["host", "path"], "left")
+    columns = ("path", "low", "high", "pages", "count", "place", "plain", "linked", "constant", "boiler")
+    lists = valid.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("held"))
 
     def choose(batches):
         for batch in batches:
-            got = [main_slot([(c["path"], c["plain"], c["linked"], c["boiler"]) for c in held]) for held in batch["held"]]
-            yield pd.DataFrame({"host": batch["host"], "main": [m for m, _ in got], "skips": [k for _, k in got], "constant": batch["constant"]})
+            made = [Template([Tag(c["path"], (c["low"], c["high"]), c["pages"], c["count"], c["place"] / max(c["pages"], 1), c["plain"], c["linked"], c["constant"] or 0, c["boiler"]) for c in held]) for held in batch["held"]]
+            yield pd.DataFrame({"host": batch["host"], "main": [t.main_slot() for t in made], "skips": [sorted({*t.menus(), *t.boilerplate()}) for t in made]})
 
-    return lists.mapInPandas(choose, "host string, main string, skips array<string>, constant array<long>")
+    return lists.mapInPandas(choose, "host string, main string, skips array<string>")
 
 
 def scramble(x: int) -> int:
@@ -321,12 +444,12 @@ def main_texts(pages: DataFrame, support: float = 0.5) -> DataFrame:
     rows = _pages(pages)
     with Scratch(pages.sparkSession) as scratch:
         templates = scratch.result(deduce_templates(rows, support), "templates")
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "main", "skips", "constant")
+    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "main", "skips")
     some = lambda v: frozenset(() if v is None else v)
 
     def run(batches):
         for batch in batches:
-            texts = [extract(h, m, some(s), some(c)) for h, m, s, c in zip(batch["html"], batch["main"], batch["skips"], batch["constant"])]
+            texts = [extract(h, m, some(s)) for h, m, s in zip(batch["html"], batch["main"], batch["skips"])]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -326,7 +326,7 @@ def test_main_text_of_pages_that_come_twice(spark):
 
 
 def test_main_text_by_template_alone(spark):
-    # No article element and no telling name: the main slot follows from where text varies, and constant text goes.
+    # No article element and no telling name: the main slot follows from where text varies; what is constant in it stays.
     def page(i):
         body = " ".join(RNG.choices(WORDS, k=80))
         return body, f"<html><body><div class=x1><a href=1>{i} home</a><a href=2>more</a></div><div class=x2><p>Our house has stood here since 1900</p><div class=x3><p>{body}</p><p>Read us daily</p></div></div><div class=x4>All rights {i}</div></body></html>"
@@ -334,8 +334,8 @@ def test_main_text_by_template_alone(spark):
     made = [page(i) for i in range(8)]
     table = spark.createDataFrame([(i, f"http://plain.example/{i}", p, 1, "h") for i, (_, p) in enumerate(made)], "page_id long, url string, html string, main int, host string")
     got = {r["page_id"]: r["text"] for r in template_text.main_texts(table).collect()}
-    assert got == {i: body for i, (body, _) in enumerate(made)}
-    assert all(template_text.extract(p, None) != body for body, p in made)
+    assert got == {i: f"{body} Read us daily" for i, (body, _) in enumerate(made)}
+    assert all(template_text.extract(p, None) != f"{body} Read us daily" for body, p in made)
 
 
 def test_main_text_keeps_names_that_only_hold_a_listed_word(spark):
