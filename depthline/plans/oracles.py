@@ -229,12 +229,15 @@ _FEED = {
     "odel": """SELECT instrument, side, CASE WHEN kind = 4 AND k > 0 THEN px2 ELSE px END AS px, pos, CASE WHEN kind = 4 AND k = 1 THEN total ELSE rem - coalesce(lag(rem) OVER (PARTITION BY order_id ORDER BY pos), 0) END AS d FROM orem
       UNION ALL SELECT instrument, side, px, pos, -total FROM orem WHERE kind = 4 AND k = 1""",
     "lev": """SELECT instrument, side, px, pos, coalesce(lead(pos) OVER w, 9223372036854775807) AS next_pos, CAST(sum(d) OVER w AS BIGINT) AS vol FROM odel WHERE d <> 0 WINDOW w AS (PARTITION BY instrument, side, px ORDER BY pos)""",
+    # Levels are listed by every 256 positions they stand in, so the interval join has an equality.
+    "levb": "SELECT *, unnest(range(pos // 256, least(next_pos - 1, (SELECT max(pos) FROM l2)) // 256 + 1)) AS bk FROM lev WHERE vol > 0",
+    "live": "SELECT m.instrument, m.pos, v.side, v.px, v.vol FROM l2 m JOIN levb v ON v.instrument = m.instrument AND v.bk = m.pos // 256 AND v.pos <= m.pos AND m.pos < v.next_pos",
     "rate": """SELECT instrument, pos, CAST(count(*) FILTER (type = 'Add') OVER w AS DOUBLE) AS arrival_rate, CAST(count(*) FILTER (type = 'Delete') OVER w AS DOUBLE) AS cancel_rate,
       CAST(count(*) FILTER (type IN ('Trade', 'Execute')) OVER w AS DOUBLE) AS trade_intensity FROM l2 WINDOW w AS (PARTITION BY instrument ORDER BY ts_us RANGE BETWEEN 1000000 PRECEDING AND CURRENT ROW)""",
     "buys": "SELECT l2.instrument, l2.pos, l2.ts_us, l2.type IN ('Trade', 'Execute') AS t, l2.type IN ('Trade', 'Execute') AND orem.rem > 0 AND orem.side = 'Sell' AS hit FROM l2 JOIN orem USING (instrument, pos)",
     "br0": "SELECT instrument, pos, count(*) FILTER (hit) OVER w / nullif(count(*) FILTER (t) OVER w, 0)::DOUBLE AS r FROM buys WINDOW w AS (PARTITION BY instrument ORDER BY ts_us RANGE BETWEEN 1000000 PRECEDING AND CURRENT ROW)",
 }
-_FEED_NEEDS = {"of": "l3", "l2": "of", "orem": "of", "odel": "orem", "lev": "odel", "buys": "l2 orem"}
+_FEED_NEEDS = {"of": "l3", "l2": "of", "orem": "of", "odel": "orem", "lev": "odel", "levb": "lev l2", "live": "l2 levb", "buys": "l2 orem"}
 
 
 def _feed_oracles() -> dict[str, str]:
@@ -245,6 +248,7 @@ def _feed_oracles() -> dict[str, str]:
         full, best, chain = _with(_ALL, _FULL + _JOINS), _with("bbo", "SELECT * FROM bbo"), _chain(1000)
         return {
             "itch_messages": _with("l2", "SELECT instrument, pos, ts_us, type, order_id, new_order_id, px, qty, side FROM l2"),
+            "itch_ranges": _with("l2", "SELECT instrument, pos, ts_us, type, order_id, new_order_id, px, qty, side FROM l2"),
             "order_bbo": _with("bbo", "SELECT instrument, pos, best_bid, best_bid_qty, best_ask, best_ask_qty FROM bbo"),
             "buy_ratio_orders": _with("br", "SELECT * FROM br"),
             "order_features": full,

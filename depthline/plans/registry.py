@@ -236,6 +236,14 @@ def itch_messages(s, d):
     return _fed(s, d).select("instrument", "pos", "ts_us", "type", "order_id", "new_order_id", "px", "qty", "side")
 
 
+@query
+def itch_ranges(s, d):
+    """The same messages with every file framed and decoded in ranges of 10,000 bytes, cut anywhere."""
+    files = itch.encode_orders(fixtures.order_feed(s, d)).select(F.concat_ws("/", "instrument", "chunk").alias("instrument"), "content")
+    m = itch.parse_ranges(itch.cut_ranges(files, 10_000)).withColumn("pos", F.split_part("instrument", F.lit("/"), F.lit(2)).cast("bigint") * itch.CHUNK + F.col("n") + 1)
+    return m.withColumn("instrument", F.split_part("instrument", F.lit("/"), F.lit(1))).select("instrument", "pos", "ts_us", "type", "order_id", "new_order_id", "px", "qty", "side")
+
+
 @query
 def order_bbo(s, d):
     m = fixtures.order_feed(s, d)
