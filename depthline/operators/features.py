@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthline.operators.book import book_states, l2_levels, l3_remaining, order_levels, resolve_replacements, resting_sides
+from depthline.operators.compat import change_levels, level_changes
 from depthline.operators.carry import expired, let, numbered, running
+from depthline.scratch import stored
 
 SECOND = 1_000_000
 _TWO = "best_bid <> 0 AND best_ask <> 0"
@@ -154,11 +155,10 @@ def buy_ratio(df: DataFrame, window_us: int = SECOND) -> DataFrame:
 def _states(messages: DataFrame, levels: DataFrame | None, depth: int) -> DataFrame:
     """Book states with price features, null while a side is empty.
 
-    They are read more than once (by the rows and by the buckets' sums), so Spark keeps them; what does not fit
-    in memory goes to disk, and what a lost executor held is made anew.
+    They are read more than once (by the rows and by the buckets' sums), so they are written.
     """
     rows = price_features(book_states(messages, l2_levels(messages) if levels is None else levels, depth))
-    return rows.withColumns({c: F.when(F.expr(_TWO), F.col(c)) for c in _SLOPES}).persist(StorageLevel.MEMORY_AND_DISK)
+    return stored(rows.withColumns({c: F.when(F.expr(_TWO), F.col(c)) for c in _SLOPES}), "book-states")
 
 
 def priced(messages: DataFrame, levels: DataFrame | None = None) -> DataFrame:
@@ -187,11 +187,19 @@ def all_features(messages: DataFrame, levels: DataFrame | None = None) -> DataFr
     return _held_ratio(rows, F.col("_trades")).withColumns({n: F.col(n).cast("double") for n in _kinds()}).drop("delta", "_trades", "_buys")
 
 
-def order_features(messages: DataFrame) -> DataFrame:
-    """All twelve features per order message: the book is that of the orders, and a trade's side that of the order it meets."""
-    remaining = l3_remaining(resolve_replacements(messages))
-    rows = messages.join(resting_sides(remaining), ["instrument", "pos"], "left")
-    return all_features(rows, order_levels(messages, remaining)).drop("resting_side")
+def order_features(messages: DataFrame, semantics: str = "clean") -> DataFrame:
+    """All twelve features per order message: the book is that of the orders, and a trade's side that of the order it meets.
+
+    With ``semantics="compat"`` the book has the published engine's quirks.  Messages are read several
+    times; a decoded feed should be ``stored`` first.
+    """
+    if semantics == "compat":
+        changes = stored(level_changes(messages), "level-changes")
+        levels, sides = change_levels(messages, changes), changes.where("part = 0").select("instrument", "pos", "resting_side")
+    else:
+        remaining = stored(l3_remaining(resolve_replacements(messages)), "remaining")
+        levels, sides = order_levels(messages, remaining), resting_sides(remaining)
+    return all_features(messages.join(sides, ["instrument", "pos"], "left"), levels).drop("resting_side")
 
 
 def live_features(messages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from depthline.operators.carry import numbered
 from depthline.operators.features import all_features, order_features
 from depthline.schema import SNAPSHOT
+from depthline.scratch import stored
 
 #: A cent in units of the fixed-point price.
 TICK = 100
@@ -105,13 +106,15 @@ def sample_positions(messages: DataFrame, time_us: int = 100_000, count: int = 1
     return rows.groupBy("instrument", "block").cogroup(chained.groupBy("_i", "_b")).applyInPandas(mark, "instrument string, pos bigint")
 
 
-def market_snapshots(messages: DataFrame, time_us: int = 100_000, count: int = 1000, predict=None, by_order: bool = False) -> DataFrame:
+def market_snapshots(messages: DataFrame, time_us: int = 100_000, count: int = 1000, predict=None, by_order: bool = False, semantics: str = "clean") -> DataFrame:
     """The 19-column snapshot table (and ``instrument, pos``).
 
-    ``by_order`` takes the messages as an order feed.  ``predict`` is a column over the rows or a
+    ``by_order`` takes the messages as an order feed, with clean or ``compat`` ``semantics``.  ``predict`` is a column over the rows or a
     fitted pipeline; without one ``prediction`` is NaN.
     """
-    rows = (order_features if by_order else all_features)(messages).join(sample_positions(messages, time_us, count), ["instrument", "pos"])
+    if by_order:
+        messages = stored(messages, "messages")
+    rows = (order_features(messages, semantics) if by_order else all_features(messages)).join(sample_positions(messages, time_us, count), ["instrument", "pos"])
     rows = rows.withColumn("seq", F.col("ts_us"))
     if predict is None or isinstance(predict, Column):
         rows = rows.withColumn("prediction", F.lit(float("nan")) if predict is None else predict)

@@ -237,23 +237,40 @@ _FEED = {
     "buys": "SELECT l2.instrument, l2.pos, l2.ts_us, l2.type IN ('Trade', 'Execute') AS t, l2.type IN ('Trade', 'Execute') AND orem.rem > 0 AND orem.side = 'Sell' AS hit FROM l2 JOIN orem USING (instrument, pos)",
     "br0": "SELECT instrument, pos, count(*) FILTER (hit) OVER w / nullif(count(*) FILTER (t) OVER w, 0)::DOUBLE AS r FROM buys WINDOW w AS (PARTITION BY instrument ORDER BY ts_us RANGE BETWEEN 1000000 PRECEDING AND CURRENT ROW)",
 }
+# The published engine's quirks: trades a tick away, whole levels deleted, replaced orders on the bid side; id 0 is no order.
+_QUIRKS = {
+    "l2": _FEED["l2"].replace("SELECT instrument, pos,", "SELECT * REPLACE (CASE WHEN type = 'Trade' AND root % 12 = 2 THEN px + 100 ELSE px END AS px) FROM (SELECT instrument, pos,", 1) + ")",
+    "cev": """SELECT instrument, CASE WHEN kind = 4 AND k > 1 THEN 'Buy' ELSE side END AS side, pos, 0 AS part, kind = 3 AND lst AND k > 0 AS sets,
+        CASE WHEN kind = 4 AND k > 1 THEN px2 WHEN kind = 2 AND k > 0 AND order_id % 12 = 2 THEN px + 100 ELSE px END AS px,
+        CASE WHEN k = 0 THEN qty WHEN kind = 3 AND lst THEN 0 WHEN kind = 4 AND k = 1 THEN -total ELSE -qty END AS d FROM orem WHERE order_id <> 0 OR k = 0
+      UNION ALL SELECT instrument, 'Buy', pos, 1, false, px2, total FROM orem WHERE kind = 4 AND k = 1""",
+    "cseg": "SELECT *, sum(CASE WHEN sets THEN 1 ELSE 0 END) OVER (PARTITION BY instrument, side, px ORDER BY pos, part) AS seg FROM cev",
+    "crun": "SELECT *, sum(d) OVER (PARTITION BY instrument, side, px, seg ORDER BY pos, part) AS s FROM cseg",
+    "lev": """SELECT instrument, side, px, pos, coalesce(lead(pos) OVER (PARTITION BY instrument, side, px ORDER BY pos, part), 9223372036854775807) AS next_pos,
+      CAST(s - least(0, min(s) OVER (PARTITION BY instrument, side, px, seg ORDER BY pos, part)) AS BIGINT) AS vol FROM crun""",
+    "buys": _FEED["buys"].replace("orem.side = 'Sell'", "orem.side = 'Sell' AND NOT (orem.kind = 4 AND orem.k > 0)"),
+}
 _FEED_NEEDS = {"of": "l3", "l2": "of", "orem": "of", "odel": "orem", "lev": "odel", "levb": "lev l2", "live": "l2 levb", "buys": "l2 orem"}
+_QUIRK_NEEDS = {"cev": "orem", "cseg": "cev", "crun": "cseg", "lev": "crun"}
 
 
-def _feed_oracles() -> dict[str, str]:
+def _feed_oracles(quirks: bool) -> dict[str, str]:
     kept = dict(_CTE), dict(_NEEDS)
-    _CTE.update(_FEED)
-    _NEEDS.update(_FEED_NEEDS)
+    _CTE.update(_FEED | (_QUIRKS if quirks else {}))
+    _NEEDS.update(_FEED_NEEDS | (_QUIRK_NEEDS if quirks else {}))
     try:
         full, best, chain = _with(_ALL, _FULL + _JOINS), _with("bbo", "SELECT * FROM bbo"), _chain(1000)
+        snapshots = f"""SELECT f.instrument, f.pos, b.ts_us AS seq, b.ts_us, best_bid, best_bid_qty, best_ask, best_ask_qty, f.* EXCLUDE (instrument, pos)
+FROM ({full}) f JOIN ({best}) b USING (instrument, pos) JOIN ({chain}) s USING (instrument, pos)"""
+        if quirks:
+            return {"order_bbo_compat": _with("bbo", "SELECT instrument, pos, best_bid, best_bid_qty, best_ask, best_ask_qty FROM bbo"), "itch_snapshots_compat": snapshots}
         return {
             "itch_messages": _with("l2", "SELECT instrument, pos, ts_us, type, order_id, new_order_id, px, qty, side FROM l2"),
             "itch_ranges": _with("l2", "SELECT instrument, pos, ts_us, type, order_id, new_order_id, px, qty, side FROM l2"),
             "order_bbo": _with("bbo", "SELECT instrument, pos, best_bid, best_bid_qty, best_ask, best_ask_qty FROM bbo"),
             "buy_ratio_orders": _with("br", "SELECT * FROM br"),
             "order_features": full,
-            "itch_snapshots": f"""SELECT f.instrument, f.pos, b.ts_us AS seq, b.ts_us, best_bid, best_bid_qty, best_ask, best_ask_qty, f.* EXCLUDE (instrument, pos)
-FROM ({full}) f JOIN ({best}) b USING (instrument, pos) JOIN ({chain}) s USING (instrument, pos)""",
+            "itch_snapshots": snapshots,
         }
     finally:
         for now, before in zip((_CTE, _NEEDS), kept):
@@ -261,4 +278,4 @@ FROM ({full}) f JOIN ({best}) b USING (instrument, pos) JOIN ({chain}) s USING (
             now.update(before)
 
 
-ORACLES.update(_feed_oracles())
+ORACLES.update(_feed_oracles(False) | _feed_oracles(True))

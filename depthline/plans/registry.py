@@ -10,6 +10,7 @@ from depthline.operators import book, features, metrics, sampling
 from depthline.operators.compat import compat_bbo
 from depthline.plans.oracles import ORACLES  # noqa: F401
 from depthline.schema import FEATURES
+from depthline.scratch import stored
 from depthline.sources import depth_json, fixtures, itch
 
 FLAGSHIP = "market_snapshots"
@@ -253,12 +254,12 @@ def order_bbo(s, d):
 @query
 def buy_ratio_orders(s, d):
     """Trades by order id count as bought when the order they meet is a sell order that still stands."""
-    return features.order_features(fixtures.order_feed(s, d)).select("instrument", "pos", "buy_ratio")
+    return features.order_features(stored(fixtures.order_feed(s, d), "feed")).select("instrument", "pos", "buy_ratio")
 
 
 @query
 def order_features(s, d):
-    return features.order_features(fixtures.order_feed(s, d)).select("instrument", "pos", "ofi", "arrival_rate", "cancel_rate", "trade_intensity", "buy_ratio", *r9("midprice", "spread", "microprice", "queue_imbalance", "bid_slope", "ask_slope", "volatility"))
+    return features.order_features(stored(fixtures.order_feed(s, d), "feed")).select("instrument", "pos", "ofi", "arrival_rate", "cancel_rate", "trade_intensity", "buy_ratio", *r9("midprice", "spread", "microprice", "queue_imbalance", "bid_slope", "ask_slope", "volatility"))
 
 
 @query
@@ -268,6 +269,24 @@ def itch_snapshots(s, d):
     return rows.select(*[F.round(c, 9).alias(c) if t == "double" and c != "buy_ratio" else F.col(c) for c, t in rows.dtypes])
 
 
+def _quirky(m: DataFrame) -> DataFrame:
+    """An order feed in which every second order that is traded by id is so a tick from where it stands."""
+    return m.withColumn("px", F.when((F.col("type") == "Trade") & (F.col("order_id") % 12 == 2), F.col("px") + 100).otherwise(F.col("px")))
+
+
+@query
+def order_bbo_compat(s, d):
+    """Best prices with the published engine's quirks: whole levels deleted, trades at their own price, replaced orders on the bid side."""
+    return compat_bbo(_quirky(fixtures.order_feed(s, d)))
+
+
+@query
+def itch_snapshots_compat(s, d):
+    """The main program as published: binary feed, quirky book, twelve features, sampler, 19 columns."""
+    rows = sampling.market_snapshots(_quirky(_fed(s, d)), by_order=True, semantics="compat").drop("prediction")
+    return rows.select(*[F.round(c, 9).alias(c) if t == "double" and c != "buy_ratio" else F.col(c) for c, t in rows.dtypes])
+
+
 @query
 def depth_pipeline(s, d):
     """Update lines to normalised messages and the best prices after each."""
