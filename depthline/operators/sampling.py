@@ -20,21 +20,20 @@ TICK = 100
 BLOCK, LIMITS = 16_384, 16
 
 
-def successors(ts: np.ndarray, time_us: int, count: int) -> np.ndarray:
-    """Where the sampler emits next after an emission at each row; ``len(ts)`` where not among these rows.
+def first_at_least(values: np.ndarray, due: np.ndarray, count: int) -> np.ndarray:
+    """By row, the first later one whose value is at least ``due``: at most ``count`` rows on, and ``len(values)`` at most.
 
-    The earlier of the ``count``-th row and the first later one at least ``time_us`` on, which is found by skipping
-    stretches of 2 ** k rows that lie wholly before it; times need not rise.
+    Stretches of 2 ** k rows that lie wholly under it are skipped by their largest value.
     """
-    n = len(ts)
-    tables = [ts]
+    n = len(values)
+    tables = [values]
     while 2 ** len(tables) <= min(n, count):
         half = 2 ** (len(tables) - 1)
         tables.append(np.maximum(tables[-1][:-half], tables[-1][half:]))
-    due, at = ts + time_us, np.arange(1, n + 1)
+    at = np.arange(1, n + 1)
     for k in range(len(tables) - 1, -1, -1):
         table = tables[k]
-        # Stretches of one size may follow one another only at the top, where they reach the count limit.
+        # Stretches of one size may follow one another only at the top, where they reach the limit.
         for _ in range(2 if k == len(tables) - 1 else 1):
             fits = at < len(table)
             early = np.zeros(n, bool)
@@ -43,6 +42,14 @@ def successors(ts: np.ndarray, time_us: int, count: int) -> np.ndarray:
     return np.minimum(np.minimum(at, np.arange(n) + count), n)
 
 
+def successors(ts: np.ndarray, time_us: int, count: int) -> np.ndarray:
+    """Where the sampler emits next after an emission at each row; ``len(ts)`` where not among these rows.
+
+    The earlier of the ``count``-th row and the first later one at least ``time_us`` on; times need not rise.
+    """
+    return first_at_least(ts, ts + time_us, count)
+
+
 def _last_inside(after: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """The last emission in rows ``lo`` to ``hi`` of the chain that begins at each of them, by doubling."""
     jump = np.where(after[lo:hi] < hi, after[lo:hi] - lo, np.arange(hi - lo))
@@ -155,10 +162,22 @@ def queue_fills(rows: DataFrame, order_qty: int = 100, side: str = "buy", ahead:
     """
     qty, other = F.col("best_bid_qty" if side == "buy" else "best_ask_qty"), F.col("best_ask_qty" if side == "buy" else "best_bid_qty")
     price = F.col("best_ask") + TICK if side == "buy" else F.col("best_bid") - TICK
-    w = Window.partitionBy("instrument").orderBy("pos").rowsBetween(1, ahead)
-    later = F.collect_list(F.struct("ts_us", qty.alias("q"))).over(w)
-    rows = rows.withColumns({"order_price": price, "depth_ahead": qty, "level_imbalance": F.coalesce(F.try_divide(qty.cast("double"), (qty + other).cast("double")), F.lit(0.5)), "_later": later})
-    first = F.get(F.filter("_later", lambda x: x["q"] < F.col("depth_ahead") - order_qty), F.lit(0))
-    dt = first["ts_us"] - F.col("ts_us")
-    rows = rows.withColumn("expected_fill_time_us", dt.cast("double")).drop("_later").where("best_bid <> 0 AND best_ask <> 0")
+    size = max(BLOCK, ahead + 1)
+
+    def find(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_n")
+        q, ts = part["q"].to_numpy(np.int64), part["ts_us"].to_numpy(np.int64)
+        # A queue under a limit is its negative over the limit's.
+        at = first_at_least(-q, order_qty - q + 1, ahead + 1)
+        mine = ((part["block"] == key[1]) & (at < len(q)) & (at <= np.arange(len(q)) + ahead)).to_numpy()
+        return pd.DataFrame({"instrument": key[0], "_n": part["_n"].to_numpy()[mine], "_dt": (ts[np.minimum(at, len(q) - 1)] - ts)[mine].astype(float)})
+
+    rows = numbered(rows)
+    block = F.expr(f"(_n - 1) div {size}")
+    # A block's search reaches into the first rows of the next one.
+    groups = F.when((F.col("_n") - 1) % size < ahead, F.array(block - 1, block)).otherwise(F.array(block))
+    near = rows.select("instrument", "_n", "ts_us", qty.alias("q"), block.alias("block"), F.explode(groups).alias("_group"))
+    first = near.groupBy("instrument", "_group").applyInPandas(find, "instrument string, _n long, _dt double")
+    rows = rows.join(first, ["instrument", "_n"], "left").withColumns({"order_price": price, "depth_ahead": qty, "level_imbalance": F.coalesce(F.try_divide(qty.cast("double"), (qty + other).cast("double")), F.lit(0.5))})
+    rows = rows.withColumnRenamed("_dt", "expected_fill_time_us").drop("_n").where("best_bid <> 0 AND best_ask <> 0")
     return rows.withColumns({f"fill_{ms}ms": F.coalesce(F.col("expected_fill_time_us") <= 1000 * ms, F.lit(False)) for ms in (1, 5, 10)})

@@ -126,3 +126,19 @@ def test_sampler_equals_a_scan_over_blocks(spark, monkeypatch):
         got = {(r["instrument"], r["pos"]) for r in sampling.sample_positions(df, time_us, count).collect()}
         assert got == {(k, 10 + 3 * p) for k, ts in feeds.items() for p in scan(ts, time_us, count)}
     assert sampling.sample_positions(df.where("false")).collect() == []
+
+
+def test_queue_fills_equal_a_search_over_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"i{k}", p, 1000 * p + rng.randint(0, 900), 100 if rng.random() < 0.9 else 0, rng.randint(0, 60), 200, rng.randint(1, 9)) for k in range(3) for p in range(rng.choice([1, 30, 200]))]
+    df = spark.createDataFrame(rows, "instrument string, pos long, ts_us long, best_bid long, best_bid_qty long, best_ask long, best_ask_qty long")
+    for block, ahead in ((8, 7), (50, 20), (16_384, 10_000)):
+        monkeypatch.setattr(sampling, "BLOCK", block)
+        got = {(r["instrument"], r["pos"]): r["expected_fill_time_us"] for r in sampling.queue_fills(df, 5, ahead=ahead).collect()}
+        want = {}
+        for name in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == name]
+            for i, r in enumerate(own):
+                if r[3]:
+                    want[name, r[1]] = next((float(x[2] - r[2]) for x in own[i + 1 : i + 1 + ahead] if x[4] < r[4] - 5), None)
+        assert got == want
