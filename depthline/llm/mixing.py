@@ -21,9 +21,9 @@ checked: more than ``MAX_SOURCES`` sources are an error, not a silent cut.
 
 Defined results: a null text has size 0; a null source is a source of its own, last;
 sources of size 0 have target 0; an empty table gives an empty table; rows that repeat
-``doc_id``, ``source`` and ``text`` share their hash, and where the cut falls among them, a
-second hash of their place in the input picks the share that fits; other columns may
-have any name.  Only ``doc_id``, ``text`` and ``source`` are read.
+``doc_id``, ``source`` and ``text`` share their hash, and where the cut falls among them,
+exactly as many of them are drawn as fit, however the input is split (of rows that differ in
+other columns only, which ones depends on their order); other columns may have any name.  Only ``doc_id``, ``text`` and ``source`` are read.
 """
 
 from __future__ import annotations
@@ -156,10 +156,10 @@ def _block(h: Column, blocks: Column) -> Column:
 
 
 def _cuts(sizes: DataFrame, plan: list[dict]) -> dict[int, dict]:
-    """Per source with a remainder: the block where its quota ends, the cut in it and the share of rows at the cut.
+    """Per source with a remainder: the block where its quota ends, the cut in it, the rows at the cut and how many of them fit.
 
-    A row of that block is in the last draw when its hash is under the cut, or at it with
-    a chance of ``share``.
+    A row of that block is in the last draw when its hash is under the cut, or when it is
+    one of the first ``fits`` of the ``ties`` rows at it.
     """
     table = F.broadcast(_table(sizes.sparkSession, plan, _PLAN).withColumnRenamed("source", "_s"))
     keyed = sizes.join(table, F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", _block(F.col("h"), F.col("blocks")))
@@ -173,7 +173,7 @@ def _cuts(sizes: DataFrame, plan: list[dict]) -> dict[int, dict]:
     at = groups.withColumn("at", F.col("b0") + F.coalesce(F.sum("words").over(w), F.lit(0))).withColumn("each", F.col("words") / F.col("n"))
     # As many rows of the group as bring the sum nearest to the remainder.
     fits = F.when(F.col("each") > 0, F.least(F.col("n"), F.floor((F.col("rest") - F.col("at")) / F.col("each") + 0.5))).otherwise(F.col("n"))
-    cut = at.where("at < rest").groupBy("sid").agg(F.max(F.struct("h", (fits / F.col("n")).alias("share"), "block")).alias("c")).select("sid", "c.*")
+    cut = at.where("at < rest").groupBy("sid").agg(F.max(F.struct("h", fits.cast("long").alias("fits"), F.col("n").alias("ties"), "block")).alias("c")).select("sid", "c.*")
     return {r["sid"]: r for r in cut.collect()}
 
 
@@ -185,7 +185,7 @@ def plan_mix(sizes: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0)
     cuts = _cuts(sizes, plan)
     for p in plan:
         c = cuts.get(p["sid"])
-        p["edge"], p["cut"], p["share"] = (int(c["block"]), int(c["h"]), float(c["share"])) if c else (-1, 0, 0.0)
+        p["edge"], p["cut"], p["fits"], p["ties"] = (int(c["block"]), int(c["h"]), int(c["fits"]), int(c["ties"])) if c else (-1, 0, 0, 0)
     quotas = [p["passes"] * p["blocks"] + p["edge"] + 1 for p in plan]
     ends = np.cumsum(split_tree(quotas, shards, seed), axis=0)
     for i, p in enumerate(plan):
@@ -193,7 +193,21 @@ def plan_mix(sizes: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0)
     return plan
 
 
-_FULL = _PLAN.replace(", rest double", "") + ", edge long, cut long, share double, ends array<long>"
+_FULL = _PLAN.replace(", rest double", "") + ", edge long, cut long, fits long, ties long, ends array<long>"
+
+
+def _first_ties(tied: DataFrame) -> DataFrame:
+    """``tied`` with ``_in``: whether a row is one of its source's first ``fits``.
+
+    Rows are counted within the tasks that wrote them and ranked from there, so one hash
+    may have any number of rows and no task sorts more of them than a task has written.
+    """
+    tied = stored(tied.withColumn("_task", F.spark_partition_id()).withColumn("_row_id", F.monotonically_increasing_id()), "mix-ties")
+    tasks = tied.groupBy("sid", "_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("sid").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("sid", "_task").orderBy("_row_id"))
+    ranked = tied.withColumn("_rank", rank).join(tasks.select("sid", "_task", before.alias("_before")), ["sid", "_task"])
+    return ranked.withColumn("_in", F.col("_before") + F.col("_rank") <= F.col("fits")).drop("_task", "_row_id", "_rank", "_before")
 
 
 def draws(spark: SparkSession, plan: list[dict], rows: DataFrame, seed: int = 17) -> DataFrame:
@@ -201,10 +215,13 @@ def draws(spark: SparkSession, plan: list[dict], rows: DataFrame, seed: int = 17
     table = F.broadcast(_table(spark, plan, _FULL).withColumnRenamed("source", "_s"))
     joined = rows.join(table, F.col("source").eqNullSafe(F.col("_s")))
     block = _block(F.col("h"), F.col("blocks"))
-    # In the block where the quota ends the last draw holds the rows under the cut.
-    chance = _unit(F.xxhash64(F.lit(seed + 2), "h", F.monotonically_increasing_id()))
-    inside = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & ((F.col("share") >= 1) | (chance < F.col("share"))))
-    joined = joined.withColumn("_block", block).withColumn("_in", (F.col("_block") != F.col("edge")) | inside)
+    # In the block where the quota ends the last draw holds the rows under the cut and those at it that fit.
+    placed = joined.withColumn("_block", block)
+    tie = (F.col("_block") == F.col("edge")) & (F.col("h") == F.col("cut")) & (F.col("fits") > 0) & (F.col("fits") < F.col("ties"))
+    inside = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & (F.col("fits") >= F.col("ties")))
+    joined = placed.withColumn("_in", (F.col("_block") != F.col("edge")) | inside)
+    if any(0 < p["fits"] < p["ties"] for p in plan):
+        joined = joined.where(~tie).unionByName(_first_ties(placed.where(tie)))
     shard_of = lambda draw: F.size(F.filter("ends", lambda e: e <= draw)).cast("long")
     turns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda t: F.struct(t.alias("turn"), shard_of(t * F.col("blocks") + F.col("_block")).alias("shard")))
     held = F.filter(turns, lambda d: (d["shard"] < F.size("ends")) & (F.col("_in") | (d["turn"] < F.col("passes"))))
@@ -213,12 +230,15 @@ def draws(spark: SparkSession, plan: list[dict], rows: DataFrame, seed: int = 17
 
 def mix_report(docs: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0, docs_per_block: int = 64, shards: int = 16, seed: int = 17) -> DataFrame:
     """Per row its ``size``, its source's ``source_size`` and ``target``, ``taken``: the words of all draws that hold it, and ``shards`` of the draws."""
-    sizes = stored(document_sizes(docs, seed), "mix-sizes")
-    plan = plan_mix(sizes, weight_cycle, max_repeats, docs_per_block, shards, seed)
-    if not plan:
-        return sizes.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("shards"))
-    rows = draws(docs.sparkSession, plan, sizes, seed)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
+    with Scratch(docs.sparkSession) as scratch:
+        sizes = stored(document_sizes(docs, seed), "mix-sizes")
+        plan = plan_mix(sizes, weight_cycle, max_repeats, docs_per_block, shards, seed)
+        if plan:
+            rows = draws(docs.sparkSession, plan, sizes, seed)
+            report = rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
+        else:
+            report = sizes.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("shards"))
+        return scratch.result(report, "mix-report")
 
 
 def mix(docs: DataFrame, weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0, docs_per_block: int = 64, shards: int = 16, seed: int = 17) -> DataFrame:

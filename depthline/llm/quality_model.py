@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depthline.llm.common import mix, stored, text_of, word_hashes
+from depthline.llm.common import Scratch, mix, stored, text_of, word_hashes
 
 STATISTICS = ("words", "word_length", "upper", "digits", "marks", "shouts", "bars", "stops", "commas", "lines", "distinct", "stutter", "repeat3", "high")
 
@@ -142,14 +142,15 @@ def train(stats: DataFrame, labels: DataFrame) -> Discriminant:
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document ``doc_id, held_out, score, predicted``."""
-    stats = stored(document_statistics(docs), "document-statistics")
-    model = train(stats, labels)
-
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                odds = np.clip(model.log_odds(np.stack(batch["x"].to_numpy())), -500, 500)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").to_numpy(), "score": 1 / (1 + np.exp(-odds))})
-
-    scored = stats.mapInPandas(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    with Scratch(docs.sparkSession) as scratch:
+        stats = stored(document_statistics(docs), "document-statistics")
+        model = train(stats, labels)
+
+        def run(batches):
+            for batch in batches:
+                if len(batch):
+                    odds = np.clip(model.log_odds(np.stack(batch["x"].to_numpy())), -500, 500)
+                    yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").to_numpy(), "score": 1 / (1 + np.exp(-odds))})
+
+        scored = stats.mapInPandas(run, "doc_id long, score double")
+        return scratch.result(scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")), "quality-scores")

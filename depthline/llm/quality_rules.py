@@ -17,14 +17,13 @@ have any name.
 
 from __future__ import annotations
 
-import json
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depthline.llm.common import SPACE_PATTERN, let, text_of
+from depthline.llm.common import SPACE_PATTERN, Scratch, let, stored, text_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -113,24 +112,32 @@ def default_rules(min_words: int = 50, repeat_pct: int = 50, symbol_pct: int = 1
     ]
 
 
-#: Code points of a sampled text that the timing looks at.
-SAMPLE_CHARS = 4_000
+def _rule_sample(docs: DataFrame, sample_rows: int) -> DataFrame | None:
+    """Whole texts of ``sample_rows`` documents: those whose ``doc_id`` has the smallest hashes, wherever they lie.
+
+    The bound on the hashes comes from a scan of ``doc_id`` alone.  None for an empty table.
+    """
+    place = F.xxhash64(docs["doc_id"].cast("string"))
+    bound = docs.select(place.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    if bound is None:
+        return None
+    return stored(docs.where(place <= bound).select(text_of(docs).alias("t")).limit(sample_rows), "rule-sample")
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 500) -> list[Rule]:
     """Rules by rejections per second on at most ``sample_rows`` documents.
 
-    The sample is what the first partitions hold, so taking it reads no more than them, and
-    of each text its first ``SAMPLE_CHARS``, two million characters in all at most.  A rule's
-    time is the better of two runs over the sample, less that of a run that only splits.  The
-    sample bounds the measuring only; verdicts come from every document.
+    The sample is drawn by a hash of ``doc_id`` from the whole table and holds whole texts, so
+    rules whose cost grows with length show it; it lies in a table, not on the driver.  A
+    rule's time is the better of two runs over the sample, less that of a run that only
+    splits.  The sample bounds the measuring only; verdicts come from every document.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.left(text_of(docs), F.lit(SAMPLE_CHARS)).alias("t")).limit(sample_rows).collect()
-    if not rows:
-        return list(rules)
-    sample = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([r["t"] for r in rows])), "array<string>")).alias("t"))
+    with Scratch(docs.sparkSession):
+        sample = _rule_sample(docs, sample_rows)
+        return list(rules) if sample is None else _measured_order(sample, rules)
+
 
+def _measured_order(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
     def timed(reject) -> tuple[float, int]:
         best, hits = float("inf"), 0
         for _ in range(2):

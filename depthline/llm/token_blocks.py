@@ -291,7 +291,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     spark = docs.sparkSession
     with Scratch(spark):
-        ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
+        ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t")).repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t")
         blocks = stored(ordered.mapInPandas(_pack(tokenizer_path, dtype, end_id, block_ids, size), f"{_PLACES}, ids binary, used array<int>, counts array<long>"), "token-ids")
 
         def count(batches):

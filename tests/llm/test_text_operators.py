@@ -117,6 +117,40 @@ def test_repeated_rows_at_the_cut_come_near_the_target(spark):
     assert len(hot) == 900 and abs(sum(r["taken"] for r in hot) - hot[0]["target"]) <= 0.15 * hot[0]["target"]
 
 
+def test_rows_drawn_of_equal_ones_do_not_depend_on_the_split(spark):
+    rows = [(7, "one two three", "hot")] * 900 + [(i, "a b c d", "other") for i in range(900)]
+    counts = set()
+    for parts in (1, 3, 7):
+        d = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string, source string").repartition(parts)
+        report = mixing.mix_report(d, weight_cycle=(1.0, 5.0)).collect()
+        hot = [r for r in report if r["size"] == 3]
+        assert len(report) == 1800 and len(hot) == 900 and abs(sum(r["taken"] for r in hot) - hot[0]["target"]) <= 3
+        counts.add(tuple(sorted((r["doc_id"], r["taken"]) for r in report)))
+        drawn = mixing.mix(d, weight_cycle=(1.0, 5.0)).where("doc_id = 7 AND source = 'hot'").count()
+        assert 3 * drawn == sum(r["taken"] for r in hot)
+    assert len(counts) == 1
+
+
+def test_later_rules_run_only_where_no_earlier_one_rejects(spark):
+    from pyspark.sql import functions as F
+
+    first = quality_rules.Rule("first", lambda t, w: t.startswith("bad"))
+    strict = quality_rules.Rule("strict", lambda t, w: F.when(t.startswith("bad"), F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(F.lit(False)))
+    d = docs(spark, ["bad one", "good one", "bad two"])
+    text = quality_rules.text_of(d)
+    kept = d.where(~quality_rules.let(quality_rules.words_of(text), lambda w: quality_rules._any([first, strict], text, w)))
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
+def test_rules_are_ordered_on_whole_texts_drawn_by_hash(spark):
+    texts = ["w " * 3000 + str(i) for i in range(400)] + [None, ""]
+    sample = quality_rules._rule_sample(docs(spark, texts).orderBy("doc_id"), 40)
+    lengths = [len(r["t"]) for r in sample.collect()]
+    assert len(lengths) == 40 and max(lengths) > 6000
+    same = spark.createDataFrame([(None, "x")] * 90, "doc_id long, text string")
+    assert quality_rules._rule_sample(same, 40).count() == 40 and quality_rules._rule_sample(same.limit(0), 40) is None
+
+
 def test_no_table_is_left_by_operators(spark, tmp_path):
     from depthline.llm.common import Scratch, shared_dir
 
@@ -126,6 +160,8 @@ def test_no_table_is_left_by_operators(spark, tmp_path):
     with Scratch(spark):
         assert order_minhash.deduplicate(d).count() and mixing.mix(d).count() and quality_rules.cascade(d).count() >= 0
         assert token_blocks.token_report(d, tokenizer_path("word_bpe_49k.json")).count() == d.count()
+        labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+        assert mixing.mix_report(d).count() == d.count() == quality_model.quality_scores(d, labels).count()
     assert set(os.listdir(folder)) == before
 
 
