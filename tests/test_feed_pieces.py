@@ -78,3 +78,16 @@ def test_an_undated_line_is_placed_at_its_order(spark, tmp_path):
     got = fixtures.order_feed(spark, str(tmp_path)).orderBy("pos").select("type", "order_id", "qty").collect()
     moved = 4 + 1_000_000_000
     assert list(map(tuple, got)) == [("Add", 4, 5), ("Replace", 4, 5), ("Add", 9, 5), ("Execute", 9, 2), ("Execute", moved, 3), ("Delete", 9, 0)]
+
+
+def test_replaced_orders_are_numbered_once(spark, tmp_path):
+    made, lines = tables(spark, tmp_path)
+    rows, want = QUERIES["l3_replace"](spark, str(tmp_path)), {}
+    for key, customer, _ in made:
+        total = int(sum(x[4] for x in lines if x[0] == key))
+        way = 1 if key % 2 else -1
+        level = str(customer % 4), "Sell" if key % 2 else "Buy", 1000000 + way * 100 * (1 + key % 10) + (way * 50 if key % 10 == 0 else 0)
+        want[level] = want.get(level, 0) + total
+    assert {tuple(r)[:3]: r["vol"] for r in rows.collect()} == {k: v for k, v in want.items() if v}
+    # Chains and result read the written adds; no step numbers the messages anew.
+    assert "l_orderkey" not in rows._jdf.queryExecution().optimizedPlan().toString()
