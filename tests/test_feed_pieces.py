@@ -53,6 +53,18 @@ def test_feed_queries_see_an_instrument_by_days_only(spark, tmp_path, name):
     assert by_instrument and all(re.search(r"Aggregate \[instrument#\d+, dated#\d+, day#\d+\]", x) for x in by_instrument)
 
 
+def test_the_sizes_of_pieces_are_made_once(spark, tmp_path):
+    tables(spark, tmp_path)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["batch_track_range"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # Lines are ordered once for their numbers and once for the sizes, which the days read again.
+    assert plan.count("partial_count(1)") == 1 and len(re.findall(r"row_number\(\) windowspecdefinition\(l_orderkey", plan)) == 2
+
+
 @pytest.mark.parametrize("orphans", [False, True])
 def test_messages_without_time_or_customer_are_numbered(spark, tmp_path, orphans):
     day = datetime(2024, 1, 1)
